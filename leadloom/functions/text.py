@@ -46,45 +46,75 @@ def bounded(term: str) -> str:
     return f"(?<![a-z0-9]){literal_pattern(term)}(?![a-z0-9])"
 
 
-def _rules(terms) -> Column:
-    rules = [{"term": t.lower().strip(), "pattern": bounded(t.lower().strip()) if t.isascii() else None}
-             for t in terms if t.strip()]
-    return F.from_json(F.lit(json.dumps(rules, ensure_ascii=False)),
-                       "array<struct<term: string, pattern: string>>")
+_RULE = "array<struct<term: string, pattern: string>>"
 
 
-def _matches(text: Column):
-    # `contains` is a byte search and settles nearly all terms; the pattern only runs on candidates.
-    return lambda rule: text.contains(rule.term) & (rule.pattern.isNull() | F.rlike(text, rule.pattern))
+def _rules(terms) -> str:
+    return json.dumps([{"term": t.lower().strip(), "pattern": bounded(t.lower().strip()) if t.isascii() else None}
+                       for t in terms if t.strip()], ensure_ascii=False)
 
 
-def term_hits(text: Column, terms) -> Column:
+def _lookup(function: str, text, constants: str, schema: str, test: str, body) -> Column:
+    """Higher-order search of a constant list in a text.
+
+    A column named by a string is searched by one SQL expression, which is much quicker to build
+    than the same expression made of Column calls; plans with many lists need that.
+    """
+    if isinstance(text, str):
+        quoted = constants.replace("\\", "\\\\").replace("'", "\\'")
+        condition = test.format(text=f"`{text}`")
+        return F.expr(f"{function}(from_json('{quoted}', '{schema}'), r -> {condition})")
+    call = {"filter": F.filter, "exists": F.exists}[function]
+    return call(F.from_json(F.lit(constants), schema), body)
+
+
+# `contains` is a byte search and settles nearly all terms; the pattern only runs on candidates.
+_TERM_TEST = "contains({text}, r.term) AND (r.pattern IS NULL OR rlike({text}, r.pattern))"
+
+
+def _matching(function: str, text, terms) -> Column:
+    return _lookup(function, text, _rules(terms), _RULE, _TERM_TEST,
+                   lambda rule: text.contains(rule.term) & (rule.pattern.isNull() | F.rlike(text, rule.pattern)))
+
+
+def term_hits(text, terms) -> Column:
     """Terms present in a lower-case text, in list order. ASCII terms match whole, others anywhere."""
-    return F.transform(F.filter(_rules(terms), _matches(text)), lambda rule: rule.term)
+    return _matching("filter", text, terms).getField("term")
+
+
+def term_count(text, terms) -> Column:
+    return F.size(_matching("filter", text, terms))
+
+
+def has_term(text, terms) -> Column:
+    return _matching("exists", text, terms)
 
 
-def term_count(text: Column, terms) -> Column:
-    return F.size(F.filter(_rules(terms), _matches(text)))
+def present(text: Column, term: Column) -> Column:
+    """Bounded match of one term held in a column."""
+    ascii_only = term.rlike(r"^\p{ASCII}*$")
+    pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), term, F.lit(r"\E(?![a-z0-9])"))
+    return (term != "") & text.contains(term) & (~ascii_only | F.rlike(text, pattern))
 
 
-def has_term(text: Column, terms) -> Column:
-    return F.exists(_rules(terms), _matches(text))
+def _containing(function: str, text, terms) -> Column:
+    constants = json.dumps(list(dict.fromkeys(t.lower() for t in terms if t)), ensure_ascii=False)
+    return _lookup(function, text, constants, "array<string>", "contains({text}, r)", lambda term: text.contains(term))
 
 
-def substring_hits(text: Column, terms) -> Column:
-    return F.filter(strings(dict.fromkeys(t.lower() for t in terms if t)), lambda term: text.contains(term))
+def substring_hits(text, terms) -> Column:
+    return _containing("filter", text, terms)
 
 
-def has_substring(text: Column, terms) -> Column:
-    return F.exists(strings(t.lower() for t in terms if t), lambda term: text.contains(term))
+def has_substring(text, terms) -> Column:
+    return _containing("exists", text, terms)
 
 
-def first_substring(text: Column, pairs, default: str | None = None) -> Column:
+def first_substring(text, pairs, default: str | None = None) -> Column:
     """Label of the first (token, label) pair whose token is contained in the text."""
-    pairs = list(pairs)
-    rules = F.from_json(F.lit(json.dumps([{"token": t, "label": x} for t, x in pairs], ensure_ascii=False)),
-                        "array<struct<token: string, label: string>>")
-    found = F.filter(rules, lambda rule: text.contains(rule.token))
+    constants = json.dumps([{"token": t, "label": x} for t, x in pairs], ensure_ascii=False)
+    found = _lookup("filter", text, constants, "array<struct<token: string, label: string>>",
+                    "contains({text}, r.token)", lambda rule: text.contains(rule.token))
     return F.coalesce(F.get(found, F.lit(0)).label, F.lit(default))
 
 
@@ -132,7 +162,10 @@ def fold_python(value: str) -> str:
 
 # ------------------------------------------------------------------ entities and markup
 
-_NAMED = {name.rstrip(";"): text for name, text in sorted(html5.items())}
+# Frequent names come first, because a constant map is searched from its start.
+_FREQUENT = ("amp", "nbsp", "quot", "lt", "gt", "apos", "copy", "middot", "ndash", "mdash", "rsquo", "raquo")
+_NAMED = {name: html5[name + ";"] for name in _FREQUENT}
+_NAMED |= {name.rstrip(";"): text for name, text in sorted(html5.items())}
 _PIECES = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]{1,31};)|[^&]+|&"
 _CONTROL = "".join(map(chr, range(128, 160)))
 _WINDOWS = "".join(bytes([n]).decode("cp1252", "replace") if n not in (129, 141, 143, 144, 157) else chr(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.config import DISCOVERY_SOURCES, ECOSYSTEM, LOCAL_MARKET, OFFICIAL, Campaign, ResultRules
-from leadloom.functions import grouping, numbers, text as t, urls, vocabulary as v
+from leadloom.functions import grouping, ids, numbers, text as t, urls, vocabulary as v
 from leadloom.sources.dimensions import with_country_facts
 
 DOCUMENT_PATH = r"\.(pdf|docx?|xlsx?|pptx?)(?:$|[?#])"
@@ -27,20 +27,20 @@ def prefilter_results(results: DataFrame, rules: ResultRules = ResultRules(),
         "lower_text": F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")),
                                           F.coalesce("url", F.lit("")))),
     }).withColumn("domain", host_key(F.col("host"), rules.host_key))
-    path, title, text = F.col("url_path"), F.col("lower_title"), F.col("lower_text")
+    path, text = F.col("url_path"), F.col("lower_text")
     early = (
         F.when((F.col("host") == "") | urls.under_any_host(F.col("domain"), rules.blocked_hosts), "blocked_host")
         .when(F.col("domain").isin(*rules.source_hosts), "directory_or_media")
         .when(path.rlike(DOCUMENT_PATH), "document_file")
-        .when(t.has_substring(path, rules.path_terms), "non_company_path")
-        .when(t.has_substring(title, rules.title_terms), "non_company_title"))
+        .when(t.has_substring("url_path", rules.path_terms), "non_company_path")
+        .when(t.has_substring("lower_title", rules.title_terms), "non_company_title"))
     local_hits = F.filter(F.transform("local_buyer", F.lower), lambda term: text.contains(term))
     open_row = F.col("early_reason").isNull()
     counted = base.withColumn("early_reason", early).withColumns({
-        "industry_hits": F.when(open_row, F.size(t.substring_hits(text, rules.industry_terms))),
+        "industry_hits": F.when(open_row, F.size(t.substring_hits("lower_text", rules.industry_terms))),
         "buyer_hits": F.when(open_row, F.size(F.array_distinct(
-            F.concat(t.substring_hits(text, rules.buyer_terms), local_hits)))),
-        "content_hits": F.when(open_row, F.size(t.substring_hits(text, rules.content_terms))),
+            F.concat(t.substring_hits("lower_text", rules.buyer_terms), local_hits)))),
+        "content_hits": F.when(open_row, F.size(t.substring_hits("lower_text", rules.content_terms))),
         "country_hit": F.when(open_row, F.exists("aliases", lambda a: (a != "") & text.contains(a))),
     })
     industry, buyer, content = F.col("industry_hits"), F.col("buyer_hits"), F.col("content_hits")
@@ -179,7 +179,6 @@ def pending_candidates(candidates: DataFrame, completed: DataFrame) -> DataFrame
 def hold_failed_candidates(candidates: DataFrame, pages: DataFrame, campaign: Campaign,
                            rules: ResultRules = ResultRules(), reason: str = "site_not_readable") -> DataFrame:
     """Candidates without a readable page that still look like an official company."""
-    from leadloom.functions import ids
     failed = candidates.join(pages.select("domain").distinct(), "domain", "left_anti")
     rows = with_country_facts(failed).withColumns({
         "_title": F.lower(F.coalesce("title", F.lit(""))),
@@ -188,8 +187,8 @@ def hold_failed_candidates(candidates: DataFrame, pages: DataFrame, campaign: Ca
     })
     about = F.col("_about")
     platform_only = t.has_substring(about, v.PLATFORM_TERMS) & ~t.has_substring(about, v.STRONG_BUYER_TERMS)
-    located = (F.exists("aliases", lambda a: (a != "") & F.rlike(about, F.concat(
-        F.lit(r"(?<![a-z0-9])\Q"), a, F.lit(r"\E(?![a-z0-9])")))) | urls.under_tld(F.col("domain"), F.col("tld")))
+    located = (F.exists("aliases", lambda a: t.present(about, a))
+               | urls.under_tld(F.col("domain"), F.col("tld")))
     eligible = ((F.col("domain") != "") & ~urls.under_any_host(F.col("domain"), rules.blocked_hosts)
                 & ~t.has_substring(F.col("_title"), rules.title_terms)
                 & ~t.has_substring(F.col("_path"), rules.path_terms) & ~platform_only
