@@ -12,8 +12,10 @@ _HOST = rf"^{_LABEL}(?:\.{_LABEL})+$"
 
 
 def percent_decode(value: Column) -> Column:
-    plain = F.replace(value, F.lit("+"), F.lit("%2B"))
-    return F.when(value.contains("%"), F.coalesce(F.try_url_decode(plain), value)).otherwise(value)
+    def decode(text: Column) -> Column:
+        plain = F.replace(text, F.lit("+"), F.lit("%2B"))
+        return F.when(text.contains("%"), F.coalesce(F.try_url_decode(plain), text)).otherwise(text)
+    return t.let(value, decode)
 
 
 def tidy(raw: Column) -> Column:
@@ -48,8 +50,7 @@ def decode_obfuscated(value: Column, rules: EmailRules = EmailRules()) -> Column
 
     def swap(done: Column, found: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(found, f"(?i){at}", "@"), f"(?i){dot}", ".")
-        address = normalize(plain, rules)
-        return F.when(address.isNotNull(), F.replace(done, found, address)).otherwise(done)
+        return F.replace(done, found, F.coalesce(normalize(plain, rules), found))
 
     spans = F.array_distinct(F.regexp_extract_all(value, F.lit(span), F.lit(0)))
     marked = value.rlike(r"(?i)[\[(]\s*(?:at|골뱅이)\s*[\])]")

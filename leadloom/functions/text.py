@@ -176,19 +176,28 @@ def unescape(value: Column) -> Column:
     """Replace HTML character references. Each reference is decoded once, never its result."""
     named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
-    def decode(piece: Column) -> Column:
-        body = F.regexp_extract(piece, r"^&#?([A-Za-z0-9]+);?$", 1)
-        hexadecimal = piece.rlike("^&#[xX]")
+    def number(body: Column) -> Column:
+        hexadecimal = body.rlike("^[xX]")
         code = F.when(hexadecimal, F.conv(F.substr(body, F.lit(2)), 16, 10)).otherwise(body).try_cast("int")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        utf32 = F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0"))
-        number = F.translate(F.decode(utf32, "UTF-32"), _CONTROL, _WINDOWS)
-        return (F.when(piece.rlike("^&#[0-9xX]"), number)
-                .when(piece.rlike("^&[A-Za-z]"), F.coalesce(F.try_element_at(named, body), piece))
+
+        def character(n: Column) -> Column:
+            valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+            utf32 = F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(0xFFFD)), 8, "0"))
+            return F.translate(F.decode(utf32, "UTF-32"), _CONTROL, _WINDOWS)
+
+        return let(code, character)
+
+    def decode(piece: Column) -> Column:
+        return (F.when(piece.rlike("^&[A-Za-z]"), F.coalesce(
+                    F.try_element_at(named, F.regexp_extract(piece, "^&([A-Za-z0-9]+);$", 1)), piece))
+                .when(piece.rlike("^&#[0-9xX]"), let(F.regexp_extract(piece, "^&#([A-Za-z0-9]+);?$", 1), number))
                 .otherwise(piece))
 
-    pieces = F.regexp_extract_all(value, F.lit(_PIECES), F.lit(0))
-    return F.when(value.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(value)
+    def replace_all(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+        return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+
+    return let(value, replace_all)
 
 
 def strip_markup(value: Column) -> Column:

@@ -98,6 +98,10 @@ def resolve(base, href) -> Column:
 
 def _clean_path(full: Column) -> Column:
     """Drop ``.`` and ``..`` segments; query and fragment stay as they are."""
+    return F.element_at(F.transform(F.array(full), _without_dots), 1)
+
+
+def _without_dots(full: Column) -> Column:
     head = F.regexp_extract(full, r"^([^?#]*)", 1)
     tail = F.regexp_extract(full, r"^[^?#]*(.*)$", 1)
     start = F.array().cast("array<string>")

@@ -14,13 +14,12 @@ _STOPS = rf"(?isU)\s*(?:{t.either(v.LEGAL_SPAN_STOPS)}).*$"
 
 
 def _word_count(value: Column) -> Column:
-    return F.when(F.trim(value) == "", 0).otherwise(F.size(F.split(F.trim(value), " ")))
+    return F.size(F.filter(F.split(value, " "), lambda w: w != ""))
 
 
 def without_noise(value: Column) -> Column:
-    """Label without menu and social words appended to it."""
-    clean = F.regexp_replace(t.strip_markup(value), _NOISE, "")
-    return t.strip_chars(t.squash(clean), " .,:;|-")
+    """Label, already free of markup, without menu and social words appended to it."""
+    return t.strip_chars(t.squash(F.regexp_replace(value, _NOISE, "")), " .,:;|-")
 
 
 def _sized(value: Column) -> Column:
@@ -28,9 +27,9 @@ def _sized(value: Column) -> Column:
 
 
 def _usable(part: Column) -> Column:
-    normal = t.strip_chars(t.squash(F.lower(part)), " -|:·")
-    rejected = ((normal == "") | normal.isin(*v.GENERIC_NAMES) | t.has_substring(normal, v.THEME_NAME_PARTS)
-                | t.has_term(normal, v.MENU_NAME_TERMS))
+    rejected = t.let(t.strip_chars(t.squash(F.lower(part)), " -|:·"), lambda normal: (
+        (normal == "") | normal.isin(*v.GENERIC_NAMES) | t.has_substring(normal, v.THEME_NAME_PARTS)
+        | t.has_term(normal, v.MENU_NAME_TERMS)))
     legal = part.rlike(rf"(?iU)^{_LEGAL}")
     short = F.when(legal, (F.length(part) <= 150) & (_word_count(part) <= 25)).otherwise(
         (F.length(part) <= 90) & (_word_count(part) <= 9))
@@ -51,10 +50,9 @@ def _legal_spans(body: Column) -> Column:
 
     def around(pieces: Column) -> Column:
         def one(index: Column) -> Column:
+            # The name ends where another legal name starts.
             span = F.left(F.array_join(F.slice(pieces, index + 1, 32), ""), F.lit(220))
-            rest = F.substring(span, 8, 220)
-            cut = F.when(rest.rlike(rf"(?iU){_STRONG}"), F.concat(
-                F.left(span, F.lit(7)), F.regexp_extract(rest, rf"(?isU)^(.*?){_STRONG}", 1))).otherwise(span)
+            cut = F.regexp_replace(span, rf"(?isU)(?<=^.{{7,219}}){_STRONG}.*$", "")
             name = without_noise(t.strip_chars(F.regexp_replace(cut, _STOPS, ""), " .,:;|-"))
             before = F.array_join(F.slice(pieces, F.greatest(index - 17, F.lit(1)), F.least(index, F.lit(18))), "")
             context = F.lower(F.right(before, F.lit(120)))
@@ -86,7 +84,7 @@ def elect_company_name(sites: DataFrame) -> DataFrame:
     name, a short label, any label, the host.
     """
     none = t.strings([])
-    labels = F.filter(F.transform(F.array("jsonld_name", "site_name", "title"), without_noise),
+    labels = F.filter(F.transform(F.array("jsonld_name", "site_name", "title"), lambda x: without_noise(t.strip_markup(x))),
                       lambda x: (x != "") & ~x.rlike(_HOST_SHAPED))
     one = sites.withColumns({
         "_labels": labels, "_body": t.strip_markup(F.col("text")),
@@ -96,7 +94,7 @@ def elect_company_name(sites: DataFrame) -> DataFrame:
         without_noise(F.regexp_replace(F.regexp_extract(x, rf"(?iU)^.*({_STRONG}.*)$", 1),
                                        r"\s+(?:\||::)\s+.*$", "")), " .,:;|"))
     parts = F.filter(F.transform(F.filter(_split_all(F.col("_labels")), lambda p: F.trim(p) != ""),
-                                 lambda p: t.strip_markup(F.regexp_replace(p, _HOME, ""))), _usable)
+                                 lambda p: F.trim(F.regexp_replace(p, _HOME, ""))), _usable)
     two = one.withColumns({
         "_strong": F.filter(tails, _sized), "_parts": parts,
         "_spans": F.coalesce(_legal_spans(F.col("_body")), F.array().cast("array<struct<name:string,operator:boolean>>")),
