@@ -52,6 +52,17 @@ def sequential(df: DataFrame, order, name: str = "rank") -> DataFrame:
             .drop("_part", "_place", "_offset"))
 
 
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep Spark from moving later filters below costly columns.
+
+    A filter on a derived column is normally pushed down with the whole expression copied into it, so
+    long text expressions would run once per use. The partition id makes the step non-deterministic
+    for the optimizer; values do not change.
+    """
+    here = F.spark_partition_id() >= 0
+    return df.withColumns({c: F.when(here, F.col(c)) for c in columns})
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in reliable storage, so a lost executor costs a re-read and not a re-run."""
     spark = df.sparkSession

@@ -43,6 +43,7 @@ def prefilter_results(results: DataFrame, rules: ResultRules = ResultRules(),
         "content_hits": F.when(open_row, F.size(t.substring_hits("lower_text", rules.content_terms))),
         "country_hit": F.when(open_row, F.exists("aliases", lambda a: (a != "") & text.contains(a))),
     })
+    counted = grouping.settle(counted, "early_reason")
     industry, buyer, content = F.col("industry_hits"), F.col("buyer_hits"), F.col("content_hits")
     late = (F.when((industry == 0) & (buyer == 0), "no_evidence")
             .when((content >= 2) & ~((industry > 0) & (buyer > 0)), "content_page"))
@@ -70,14 +71,14 @@ def accepted(filtered: DataFrame) -> DataFrame:
     return filtered.where(F.col("reject_reason").isNull())
 
 
-def mark_ecosystem_sources(results: DataFrame, rules: ResultRules = ResultRules()) -> DataFrame:
+def mark_ecosystem_sources(results: DataFrame, rules: ResultRules = ResultRules(), terms=v.ECOSYSTEM_TERMS,
+                           paths=v.ECOSYSTEM_PATHS, titles=v.ECOSYSTEM_TITLES) -> DataFrame:
     """Flag exhibition and association pages, whose links are read instead of the page itself."""
     title = F.lower(F.coalesce("title", F.lit("")))
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     in_industry = t.has_substring(text, rules.industry_terms)
-    many = F.size(t.substring_hits(text, v.ECOSYSTEM_TERMS)) >= 2
-    source = (many | t.has_substring(urls.path("url"), v.ECOSYSTEM_PATHS)
-              | t.has_substring(title, v.ECOSYSTEM_TITLES))
+    many = F.size(t.substring_hits(text, terms)) >= 2
+    source = many | t.has_substring(urls.path("url"), paths) | t.has_substring(title, titles)
     return results.withColumn("is_ecosystem_source",
                               F.when(F.col("profile") == ECOSYSTEM, in_industry & source).otherwise(F.lit(False)))
 
@@ -177,22 +178,24 @@ def pending_candidates(candidates: DataFrame, completed: DataFrame) -> DataFrame
 
 
 def hold_failed_candidates(candidates: DataFrame, pages: DataFrame, campaign: Campaign,
-                           rules: ResultRules = ResultRules(), reason: str = "site_not_readable") -> DataFrame:
+                           rules: ResultRules = ResultRules(), reason: str = "site_not_readable",
+                           country_facts: DataFrame | None = None) -> DataFrame:
     """Candidates without a readable page that still look like an official company."""
     failed = candidates.join(pages.select("domain").distinct(), "domain", "left_anti")
-    rows = with_country_facts(failed).withColumns({
+    rows = with_country_facts(failed, facts=country_facts).withColumns({
         "_title": F.lower(F.coalesce("title", F.lit(""))),
         "_about": F.lower(F.coalesce("description", F.lit(""))),
         "_path": urls.path("url"),
     })
+    rows = grouping.settle(rows, "_about")
     about = F.col("_about")
-    platform_only = t.has_substring(about, v.PLATFORM_TERMS) & ~t.has_substring(about, v.STRONG_BUYER_TERMS)
+    platform_only = t.has_substring("_about", v.PLATFORM_TERMS) & ~t.has_substring("_about", v.STRONG_BUYER_TERMS)
     located = (F.exists("aliases", lambda a: t.present(about, a))
                | urls.under_tld(F.col("domain"), F.col("tld")))
     eligible = ((F.col("domain") != "") & ~urls.under_any_host(F.col("domain"), rules.blocked_hosts)
                 & ~t.has_substring(F.col("_title"), rules.title_terms)
                 & ~t.has_substring(F.col("_path"), rules.path_terms) & ~platform_only
-                & t.has_term(about, campaign.industry_terms()) & t.has_term(about, rules.buyer_terms) & located)
+                & t.has_term("_about", campaign.industry_terms()) & t.has_term("_about", rules.buyer_terms) & located)
     return rows.where(eligible).select(
         ids.company_id(F.col("domain")).alias("company_id"), "domain", F.col("country").alias("target_country"),
         F.col("root_url").alias("website"), F.col("description").alias("business_description"),

@@ -10,7 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.config import Campaign, GradeRules
-from leadloom.functions import catalog, numbers, text as t, urls, vocabulary as v
+from leadloom.functions import catalog, grouping, numbers, text as t, urls, vocabulary as v
 from leadloom.sources.dimensions import with_country_facts
 
 
@@ -30,13 +30,15 @@ def _tidy(value: Column) -> Column:
 def prepare(companies: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Normalised text columns and the facts of the target country."""
     discovery = F.col("discovery_url") if "discovery_url" in companies.columns else F.lit("")
-    return with_country_facts(companies, "target_country", facts).withColumns({
+    rows = with_country_facts(companies, "target_country", facts).withColumns({
         "_identity": _tidy(F.col("identity_text")),
         "_name": F.lower(F.coalesce("company_name", F.lit(""))),
         "_host": urls.host("website"),
         "_site_path": urls.path("website"),
         "_discovery_path": urls.path(discovery),
-    }).withColumns({"_named": F.concat_ws(" ", "_name", "_identity"), "_domain": urls.registrable(F.col("_host"))})
+    })
+    return grouping.settle(rows.withColumns({
+        "_named": F.concat_ws(" ", "_name", "_identity"), "_domain": urls.registrable(F.col("_host"))}), "_identity", "_named")
 
 
 # ------------------------------------------------------------------ country evidence
@@ -84,12 +86,13 @@ def score_country(prepared: DataFrame, markers=v.LOCAL_LANGUAGE_MARKERS, cities=
 
     points = sum((F.when(counts(c, w), w).otherwise(0) for _, c, w in weighted), F.lit(0))
     evidence = F.array_compact(F.array(*[F.when(counts(c, w), F.lit(code)) for code, c, w in weighted]))
-    return strong.withColumns({
+    scored = strong.withColumns({
         "country_score": F.least(F.lit(3), points).cast("int"),
         "country_evidence": evidence,
         "verified_country": F.when(F.col("_strong_country"), country),
         "_country_named": (F.size("_aliases") > 0) | F.col("_strong_country"),
     })
+    return grouping.settle(scored, "country_score")
 
 
 # ------------------------------------------------------------------ products
@@ -173,8 +176,8 @@ def score_roles(scored: DataFrame, campaign: Campaign) -> DataFrame:
     roles = (F.when(F.col("_shop"), F.array(F.lit("multibrand_retail")))
              .when((F.size("_stated_roles") == 0) & (F.col("buyer_type") == "clinic_salon"),
                    F.array(F.lit("clinic_or_salon"))).otherwise(F.col("_stated_roles")))
-    return fourth.withColumn("role_hits", roles).withColumns({
-        "industry_score": _score(F.col("industry_hits")), "buyer_role_score": _score(F.col("role_hits"))})
+    return grouping.settle(fourth.withColumn("role_hits", roles).withColumns({
+        "industry_score": _score(F.col("industry_hits")), "buyer_role_score": _score(F.col("role_hits"))}), "buyer_role_score")
 
 
 # ------------------------------------------------------------------ site class
@@ -280,7 +283,7 @@ def classify_site(scored: DataFrame, campaign: Campaign) -> DataFrame:
     site = F.lit("official_site")
     for label, column in reversed(ladder):
         site = (F.coalesce(c(column), site) if label is None else F.when(c(column), label).otherwise(site))
-    return decided.withColumn("site_type", site)
+    return grouping.settle(decided.withColumn("site_type", site), "site_type")
 
 
 # ------------------------------------------------------------------ grade
@@ -331,7 +334,7 @@ def grade_companies(classified: DataFrame, rules: GradeRules = GradeRules()) ->
     step = F.lit("weak_role")
     for label, cond in reversed(ladder):
         step = F.when(cond, label).otherwise(step)
-    graded = listed.withColumn("grade_step", step)
+    graded = grouping.settle(listed.withColumn("grade_step", step), "grade_step")
     at = c("grade_step")
     missing = _reasons(
         (lit("country"), country < 3), (lit("industry"), industry < 3), (lit("buyer_role"), role < 3),

@@ -109,7 +109,7 @@ def extract_pages(pages: DataFrame, rules: EmailRules = EmailRules()) -> DataFra
         _plain(F.array_join(F.regexp_extract_all(
             "_shown", F.lit(r"(?is)<title(?=[\s>])" + _ATTRS + r">(.*?)</title\s*>"), F.lit(1)), " ")).alias("title"),
         _site_name(F.col("_shown")).alias("site_name"), _links(F.col("_shown")).alias("anchors"))
-    return read.withColumns({
+    return grouping.settle(read, "text").withColumns({
         "host": urls.host("url"),
         "domain": urls.registrable_domain("url"),
         "emails": page_emails(F.col("text"), F.col("anchors"), rules),
@@ -127,6 +127,14 @@ def contact_links(url: Column, anchors: Column) -> Column:
     return F.array_distinct(F.transform(own, lambda a: a["url"]))
 
 
+def link_edges(extracted: DataFrame) -> DataFrame:
+    """One row per anchor of a page, in page order, with the address it leads to."""
+    rows = extracted.select("url", "host", F.posexplode("anchors").alias("position", "_a"))
+    target = urls.resolve(F.col("url"), F.col("_a.href"))
+    return rows.select("url", "position", F.col("_a.href").alias("href"), F.col("_a.label").alias("label"),
+                       target.alias("target_url"), (urls.host(target) == F.col("host")).alias("same_host"))
+
+
 def external_company_links(pages: DataFrame, limit: int = 10,
                            blocked: tuple[str, ...] = v.BLOCKED_HOSTS) -> DataFrame:
     """First distinct companies linked from a directory page, in page order."""

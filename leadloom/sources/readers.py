@@ -11,9 +11,12 @@ RUN_STATUS = ("job_id string, status string, created_at string, updated_at strin
               "progress_total long, records long, sendable long, filename string, message string")
 
 
-def read_search_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row per result of every saved response; a response without results keeps one empty row."""
-    saved = spark.read.schema(SEARCH_RESPONSE).json(path, multiLine=True)
+def read_search_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per result of every saved response; a response without results keeps one empty row.
+
+    ``multi_line`` reads one response per file; without it each line is a response, and files can be split.
+    """
+    saved = spark.read.schema(SEARCH_RESPONSE).json(path, multiLine=multi_line)
     rows = saved.select("*", F.input_file_name().alias("source_file"),
                         F.posexplode_outer("results").alias("position", "_r")).drop("results")
     return rows.select("query", "country", "profile", "keyword", "task_idx", "request_id", "source_file", "position",
@@ -63,9 +66,9 @@ def read_creators(spark: SparkSession, path: str, headers: dict = CREATOR_HEADER
         "record_kind": F.coalesce("record_kind", F.lit("unmarked"))})
 
 
-def read_run_history(spark: SparkSession, path: str) -> DataFrame:
-    """Latest state of each run from its status files."""
-    states = spark.read.schema(RUN_STATUS).json(path, multiLine=True)
+def read_run_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Latest state of each run from its status files, or from lines of states."""
+    states = spark.read.schema(RUN_STATUS).json(path, multiLine=multi_line)
     fields = [c for c in states.columns if c != "job_id"]
     return (states.where(F.col("job_id").isNotNull()).groupBy("job_id")
             .agg(F.max_by(F.struct(*fields), "updated_at").alias("_s")).select("job_id", "_s.*"))
