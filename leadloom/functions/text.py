@@ -46,12 +46,40 @@ def bounded(term: str) -> str:
     return f"(?<![a-z0-9]){literal_pattern(term)}(?![a-z0-9])"
 
 
-_RULE = "array<struct<term: string, pattern: string>>"
+_RULE = "array<struct<term: string, pattern: string, word: string, mark: string>>"
 
 
-def _rules(terms) -> str:
-    return json.dumps([{"term": t.lower().strip(), "pattern": bounded(t.lower().strip()) if t.isascii() else None}
-                       for t in terms if t.strip()], ensure_ascii=False)
+class Gate:
+    """Words and letters of a text, collected once, that rule out most terms of many lists.
+
+    A whole ASCII term can only occur where its first word occurs as a word; any other term only where
+    its first non-ASCII letter occurs. Both are necessary conditions, so results never change.
+    """
+
+    def __init__(self, terms):
+        lowered = {t.lower().strip() for t in terms}
+        self.words = frozenset(filter(None, map(first_word, lowered)))
+
+    def columns(self, text: Column) -> dict[str, Column]:
+        """Columns `_seen` and `_marks` of the longest text that will be searched."""
+        letters = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
+        return {"_seen": F.array_intersect(F.split(text, "[^a-z0-9]+"), strings(sorted(self.words))),
+                "_marks": F.array_join(letters, "")}
+
+
+def first_word(term: str) -> str | None:
+    found = re.search("[a-z0-9]+", term) if term.isascii() else None
+    return found.group() if found else None
+
+
+def _rules(terms, gate: Gate | None) -> str:
+    rules = []
+    for term in (t.lower().strip() for t in terms if t.strip()):
+        word = first_word(term) if gate else None
+        mark = next((c for c in term if ord(c) > 127), None) if gate else None
+        rules.append({"term": term, "pattern": bounded(term) if term.isascii() else None,
+                      "word": word if gate and word in gate.words else None, "mark": mark})
+    return json.dumps(rules, ensure_ascii=False)
 
 
 def _lookup(function: str, text, constants: str, schema: str, test: str, body) -> Column:
@@ -70,24 +98,26 @@ def _lookup(function: str, text, constants: str, schema: str, test: str, body) -
 
 # `contains` is a byte search and settles nearly all terms; the pattern only runs on candidates.
 _TERM_TEST = "contains({text}, r.term) AND (r.pattern IS NULL OR rlike({text}, r.pattern))"
+_GATED_TEST = ("(r.word IS NULL OR array_contains(`_seen`, r.word)) AND (r.mark IS NULL OR contains(`_marks`, r.mark)) "
+               "AND " + _TERM_TEST)
 
 
-def _matching(function: str, text, terms) -> Column:
-    return _lookup(function, text, _rules(terms), _RULE, _TERM_TEST,
+def _matching(function: str, text, terms, gate: Gate | None) -> Column:
+    return _lookup(function, text, _rules(terms, gate), _RULE, _GATED_TEST if gate else _TERM_TEST,
                    lambda rule: text.contains(rule.term) & (rule.pattern.isNull() | F.rlike(text, rule.pattern)))
 
 
-def term_hits(text, terms) -> Column:
+def term_hits(text, terms, gate: Gate | None = None) -> Column:
     """Terms present in a lower-case text, in list order. ASCII terms match whole, others anywhere."""
-    return _matching("filter", text, terms).getField("term")
+    return _matching("filter", text, terms, gate).getField("term")
 
 
-def term_count(text, terms) -> Column:
-    return F.size(_matching("filter", text, terms))
+def term_count(text, terms, gate: Gate | None = None) -> Column:
+    return F.size(_matching("filter", text, terms, gate))
 
 
-def has_term(text, terms) -> Column:
-    return _matching("exists", text, terms)
+def has_term(text, terms, gate: Gate | None = None) -> Column:
+    return _matching("exists", text, terms, gate)
 
 
 def present(text: Column, term: Column) -> Column:

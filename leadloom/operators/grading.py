@@ -14,6 +14,30 @@ from leadloom.functions import catalog, grouping, numbers, text as t, urls, voca
 from leadloom.sources.dimensions import with_country_facts
 
 
+def _every_term() -> list[str]:
+    listed: list[str] = []
+    for name, value in vars(v).items():
+        if name.isupper() and isinstance(value, (tuple, dict)):
+            for part in value.values() if isinstance(value, dict) else [value]:
+                listed += [x for x in part if isinstance(x, str)] if isinstance(part, tuple) else []
+    return listed
+
+
+GATE = t.Gate(_every_term())
+
+
+def _hits(text: str, terms) -> Column:
+    return t.term_hits(text, terms, GATE)
+
+
+def _count(text: str, terms) -> Column:
+    return t.term_count(text, terms, GATE)
+
+
+def _has(text: str, terms) -> Column:
+    return t.has_term(text, terms, GATE)
+
+
 def _group(patterns) -> str:
     return "(?:" + t.either(t.literal_pattern(p) for p in patterns) + ")"
 
@@ -37,8 +61,9 @@ def prepare(companies: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         "_site_path": urls.path("website"),
         "_discovery_path": urls.path(discovery),
     })
-    return grouping.settle(rows.withColumns({
+    named = grouping.settle(rows.withColumns({
         "_named": F.concat_ws(" ", "_name", "_identity"), "_domain": urls.registrable(F.col("_host"))}), "_identity", "_named")
+    return grouping.settle(named.withColumns(GATE.columns(F.col("_named"))), "_seen", "_marks")
 
 
 # ------------------------------------------------------------------ country evidence
@@ -69,7 +94,7 @@ def score_country(prepared: DataFrame, markers=v.LOCAL_LANGUAGE_MARKERS, cities=
                               | _near(identity, places + r"[^.;|]{0,100}", a, "")),
         "_business": F.exists("_aliases", lambda a: _near(
             identity, "", a, r"[^.;|]{0,80}" + _group(v.LOCAL_BUSINESS_TERMS))),
-        "_language": F.coalesce(by_country(markers, lambda x: t.term_count("_identity", x) >= 2), F.lit(False)),
+        "_language": F.coalesce(by_country(markers, lambda x: _count("_identity", x) >= 2), F.lit(False)),
         "_market": F.exists("_aliases", lambda a: _near(identity, market_before, a, r"\b")
                             | _near(identity, r"\b", a, market_after)),
         "_city": F.coalesce(by_country(cities, lambda x: t.has_substring("_identity", x)), F.lit(False))
@@ -119,9 +144,9 @@ def match_products(docs: DataFrame, products, text: str = "text", key: str = "do
 # ------------------------------------------------------------------ industry and role evidence
 
 def buyer_type(identity, name) -> Column:
-    chosen = F.when(t.has_term(name, v.CLINIC_NAME_TERMS), "clinic_salon")
+    chosen = F.when(_has(name, v.CLINIC_NAME_TERMS), "clinic_salon")
     for label, terms in v.BUYER_TYPE_TERMS.items():
-        chosen = chosen.when(t.has_term(identity, terms), label)
+        chosen = chosen.when(_has(identity, terms), label)
     return chosen.otherwise("unknown")
 
 
@@ -141,16 +166,16 @@ def score_roles(scored: DataFrame, campaign: Campaign) -> DataFrame:
     region = campaign.countries[0] if campaign.countries else ""
     first = scored.withColumns({
         "product_matches": product_matches(F.col(identity), campaign.products, region),
-        "_term_hits": t.term_hits(identity, campaign.industry_terms()),
-        "_role_terms": t.term_hits(named, role_terms),
+        "_term_hits": _hits(identity, campaign.industry_terms()),
+        "_role_terms": _hits(named, role_terms),
         "_local_roles": F.filter("local_buyer", lambda term: t.present(F.col(named), F.lower(term))),
         "_typed": buyer_type(identity, "_name"),
-        "_denied": t.has_term(named, v.NOT_DISTRIBUTOR_TERMS),
-        "_garment": t.has_term(named, v.GARMENT_TERMS) if beauty else F.lit(False),
-        "_own_store": t.term_count(identity, v.OWN_STORE_TERMS),
+        "_denied": _has(named, v.NOT_DISTRIBUTOR_TERMS),
+        "_garment": _has(named, v.GARMENT_TERMS) if beauty else F.lit(False),
+        "_own_store": _count(identity, v.OWN_STORE_TERMS),
         "_dealer_path": t.has_substring("_discovery_path", v.DEALER_PATHS),
-        "_multibrand_terms": t.term_count(identity, v.MULTIBRAND_TERMS),
-        "_own_brand": t.term_count(identity, v.OWN_BRAND_TERMS),
+        "_multibrand_terms": _count(identity, v.MULTIBRAND_TERMS),
+        "_own_brand": _count(identity, v.OWN_BRAND_TERMS),
     })
     matched = F.transform("product_matches", lambda m: m["product"])
     second = first.withColumns({
@@ -189,56 +214,56 @@ def classify_site(scored: DataFrame, campaign: Campaign) -> DataFrame:
     host = F.col("_domain")
 
     def many(column: str, terms, least: int) -> Column:
-        return t.term_count(column, terms) >= least
+        return _count(column, terms) >= least
 
     services = F.lit(None).cast("string")
     for label, terms in reversed(v.SERVICE_IDENTITIES.items()):
-        services = F.when(t.has_term(named, terms), label).otherwise(services)
+        services = F.when(_has(named, terms), label).otherwise(services)
     segments = rf"(?:^|/){_group(v.EXHIBITION_PATH_SEGMENTS)}(?:/|$)"
     software_words = rf"(?<![a-z0-9]){_group(v.SOFTWARE_NAME_WORDS)}(?![a-z0-9])"
     signals = scored.withColumns({
         "_company": (F.col("industry_score") > 0) & (F.col("buyer_role_score") > 0),
         "_platform": urls.under_any_host(host, v.BLOCKED_HOSTS) | host.isin(*v.DIRECTORY_HOSTS)
         | many(identity, v.PLATFORM_TERMS, 2) | many(identity, v.DIRECTORY_IDENTITY_TERMS, 2)
-        | (t.has_term(named, v.AGENT_SEARCH_TERMS) & many(identity, v.LISTING_ACTION_TERMS, 2)),
-        "_spam": t.has_term(named, v.SPAM_TERMS),
+        | (_has(named, v.AGENT_SEARCH_TERMS) & many(identity, v.LISTING_ACTION_TERMS, 2)),
+        "_spam": _has(named, v.SPAM_TERMS),
         "_tourism_terms": many(named, v.TOURISM_TERMS, 2),
-        "_tourism_name": t.has_term(name, v.TOURISM_NAME_TERMS),
-        "_investment": t.has_term(name, v.INVESTMENT_NAME_TERMS) | many(named, v.INVESTMENT_TERMS, 2),
-        "_legal": t.has_term(name, v.LEGAL_NAME_TERMS) | many(named, v.LEGAL_TERMS, 2),
-        "_logistics_terms": t.term_count(named, v.LOGISTICS_TERMS),
-        "_explicit_logistics": t.term_count(named, v.EXPLICIT_LOGISTICS_TERMS),
-        "_record_importer": t.has_term(named, v.RECORD_IMPORTER_TERMS),
-        "_fulfillment": t.has_term(named, v.FULFILLMENT_TERMS),
-        "_cosmetic_product": t.has_term(identity, v.COSMETIC_PRODUCT_TERMS),
-        "_cleanroom": t.has_term(named, v.CLEANROOM_TERMS),
+        "_tourism_name": _has(name, v.TOURISM_NAME_TERMS),
+        "_investment": _has(name, v.INVESTMENT_NAME_TERMS) | many(named, v.INVESTMENT_TERMS, 2),
+        "_legal": _has(name, v.LEGAL_NAME_TERMS) | many(named, v.LEGAL_TERMS, 2),
+        "_logistics_terms": _count(named, v.LOGISTICS_TERMS),
+        "_explicit_logistics": _count(named, v.EXPLICIT_LOGISTICS_TERMS),
+        "_record_importer": _has(named, v.RECORD_IMPORTER_TERMS),
+        "_fulfillment": _has(named, v.FULFILLMENT_TERMS),
+        "_cosmetic_product": _has(identity, v.COSMETIC_PRODUCT_TERMS),
+        "_cleanroom": _has(named, v.CLEANROOM_TERMS),
         "_cleanroom_strong": many(named, v.STRONG_CLEANROOM_TERMS, 2),
         "_software": F.col(name).rlike(software_words) | many(named, v.SOFTWARE_TERMS, 2)
-        | t.has_term(name, v.SOFTWARE_NAME_TERMS)
-        | (t.has_term(identity, v.SOFTWARE_CONTEXT_TERMS) & many(identity, v.SOFTWARE_FEATURE_TERMS, 2)),
+        | _has(name, v.SOFTWARE_NAME_TERMS)
+        | (_has(identity, v.SOFTWARE_CONTEXT_TERMS) & many(identity, v.SOFTWARE_FEATURE_TERMS, 2)),
         "_service": services,
-        "_exhibition": t.has_term(named, v.EXHIBITION_TERMS),
-        "_ecosystem_name": t.has_term(name, v.EXHIBITION_NAME_TERMS) | F.col("_site_path").rlike(segments),
+        "_exhibition": _has(named, v.EXHIBITION_TERMS),
+        "_ecosystem_name": _has(name, v.EXHIBITION_NAME_TERMS) | F.col("_site_path").rlike(segments),
         "_known_media": host.isin(*v.MEDIA_HOSTS),
-        "_media_identity": t.has_term(named, v.MEDIA_IDENTITY_TERMS),
-        "_strong_media": t.term_count(named, v.STRONG_MEDIA_TERMS),
-        "_weak_media": t.term_count(named, v.WEAK_MEDIA_TERMS),
-        "_market_research": t.has_term(named, ("market research",)),
-        "_content": t.term_count(identity, v.CONTENT_TERMS),
-        "_agency_terms": t.term_count(named, v.AGENCY_TERMS),
-        "_packaging": t.has_term(identity, v.PACKAGING_TERMS) if beauty else F.lit(False),
-        "_maker_terms": t.term_count(named, v.MANUFACTURER_TERMS),
-        "_maker_name": t.has_term(name, v.MANUFACTURER_NAME_TERMS),
-        "_own_factory": t.has_term(named, v.OWN_FACTORY_TERMS),
-        "_contract_maker": t.has_term(named, v.CONTRACT_MAKER_TERMS),
-        "_brand_terms": t.term_count(named, v.BRAND_OWNER_TERMS),
-        "_import_name": t.has_term(name, v.IMPORT_NAME_TERMS),
-        "_import_terms": t.has_term(identity, v.INBOUND_IMPORT_TERMS),
-        "_own_import": t.has_term(identity, v.OWN_IMPORT_TERMS),
-        "_equipment_terms": t.has_term(named, v.EQUIPMENT_TERMS),
-        "_strong_distribution": t.has_term(named, v.STRONG_DISTRIBUTION_TERMS),
-        "_export_terms": t.has_term(named, v.EXPORT_SELLER_TERMS),
-        "_clinic_trade": t.has_term(identity, v.CLINIC_TRADE_TERMS),
+        "_media_identity": _has(named, v.MEDIA_IDENTITY_TERMS),
+        "_strong_media": _count(named, v.STRONG_MEDIA_TERMS),
+        "_weak_media": _count(named, v.WEAK_MEDIA_TERMS),
+        "_market_research": _has(named, ("market research",)),
+        "_content": _count(identity, v.CONTENT_TERMS),
+        "_agency_terms": _count(named, v.AGENCY_TERMS),
+        "_packaging": _has(identity, v.PACKAGING_TERMS) if beauty else F.lit(False),
+        "_maker_terms": _count(named, v.MANUFACTURER_TERMS),
+        "_maker_name": _has(name, v.MANUFACTURER_NAME_TERMS),
+        "_own_factory": _has(named, v.OWN_FACTORY_TERMS),
+        "_contract_maker": _has(named, v.CONTRACT_MAKER_TERMS),
+        "_brand_terms": _count(named, v.BRAND_OWNER_TERMS),
+        "_import_name": _has(name, v.IMPORT_NAME_TERMS),
+        "_import_terms": _has(identity, v.INBOUND_IMPORT_TERMS),
+        "_own_import": _has(identity, v.OWN_IMPORT_TERMS),
+        "_equipment_terms": _has(named, v.EQUIPMENT_TERMS),
+        "_strong_distribution": _has(named, v.STRONG_DISTRIBUTION_TERMS),
+        "_export_terms": _has(named, v.EXPORT_SELLER_TERMS),
+        "_clinic_trade": _has(identity, v.CLINIC_TRADE_TERMS),
     })
     c = F.col
     maker = ((c("_maker_name") & (c("_maker_terms") >= 1)) | c("_own_factory")

@@ -30,6 +30,15 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return pages.where(F.coalesce("html", F.lit("")) != "")
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer splits than that.
+
+    Only a small input has so few splits; a large one keeps its own splits and is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _number(value: Column, digits_only: bool) -> Column:
     """Follower count: ``48,000`` is 48000 when only digits count, and 48 when the leading number counts."""
     if digits_only:

@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadloom.config import ResultRules
+from leadloom.sources.readers import spread_small
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(scan) if name in TEXT_TABLES else scan
 
 
 def quote(text: str) -> str:
