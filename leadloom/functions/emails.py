@@ -66,13 +66,13 @@ def purpose(email: Column, rules: EmailRules = EmailRules()) -> Column:
     return t.first_substring(local_part(email), rules.purposes, "unknown")
 
 
-def is_sendable(email: Column, rules: EmailRules = EmailRules()) -> Column:
-    """Valid, not a placeholder and not an auto-reply sender."""
+def is_sendable(email: Column, rules: EmailRules = EmailRules(), normalized: bool = False) -> Column:
+    """Valid, not a placeholder and not an auto-reply sender. ``normalized`` addresses are known to be valid."""
     local = F.trim(local_part(email))
     host = F.trim(F.lower(F.substring_index(F.coalesce(email, F.lit("")), "@", -1)))
     compact = F.regexp_replace(local, r"[^a-z0-9]+", "")
-    return ((local != "") & ~host.isin(*rules.placeholder_hosts)
-            & ~compact.isin(*rules.autoreply_locals) & normalize(email, rules).isNotNull())
+    valid = email.isNotNull() if normalized else normalize(email, rules).isNotNull()
+    return ((local != "") & ~host.isin(*rules.placeholder_hosts) & ~compact.isin(*rules.autoreply_locals) & valid)
 
 
 def source_priority(url: Column) -> Column:
@@ -92,8 +92,8 @@ def role_rank(email: Column, rules: EmailRules = EmailRules()) -> Column:
 
 
 def preference(email: Column, source_rank: Column, rules: EmailRules = EmailRules()) -> Column:
-    """Ordering of addresses of one company, best first."""
-    return F.struct(F.when(is_sendable(email, rules), 0).otherwise(1).alias("blocked"),
+    """Ordering of valid addresses of one company, best first."""
+    return F.struct(F.when(is_sendable(email, rules, True), 0).otherwise(1).alias("blocked"),
                     role_rank(email, rules).alias("role"), (-source_rank).alias("source"), email.alias("email"))
 
 

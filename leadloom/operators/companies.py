@@ -59,7 +59,7 @@ def enrich_contacts(companies: DataFrame, external: DataFrame, rules: EmailRules
     sets status and grade.
     """
     usable = external.withColumn("_email", emails.normalize(F.col("value"), rules)).where(
-        F.col("_email").isNotNull() & emails.is_sendable(F.col("_email"), rules))
+        F.col("_email").isNotNull() & emails.is_sendable(F.col("_email"), rules, True))
     order = [F.when(F.col("type") == "generic", 0).otherwise(1), -F.coalesce("confidence", F.lit(0)), F.col("_email")]
     fields = ["_email", "confidence", "first_name", "last_name", "position", "source_uri", "verify_status",
               "verify_score", "accept_all"]
@@ -185,7 +185,7 @@ def dedup_companies(records: DataFrame, rules: EmailRules = EmailRules()) -> Dat
 def merge_owned(owned: DataFrame, columns, rules: EmailRules = EmailRules()) -> DataFrame:
     primary = F.struct(*[F.col(c) for c in EMAIL_FIELDS])
     extras = F.col("email_candidates") if "email_candidates" in columns else F.lit(None).cast(f"array<{ADDRESS}>")
-    sendable = F.filter(address_variants(extras, primary, rules), lambda a: emails.is_sendable(a["email"], rules))
+    sendable = F.filter(address_variants(extras, primary, rules), lambda a: emails.is_sendable(a["email"], rules, True))
     offered = F.when((F.col("quality_decision") != "excluded") | (F.col("record_id") == F.col("owner_id")),
                      F.get(sendable, F.lit(0)))
     ranked = owned.withColumn("_offered", offered)

@@ -266,7 +266,7 @@ def stop_points(tasks: DataFrame, found: DataFrame, target: int, base_count: int
     reached = (grouping.first_k(first_seen, ["country"], ["task_idx", "domain"], target).groupBy("country")
                .agg(F.count("*").alias("_n"), F.max("task_idx").alias("_last")).where(F.col("_n") == target))
     planned = tasks.groupBy("country").agg(F.count("*").alias("planned_tasks"))
-    stop = F.greatest(F.lit(base_count), F.col("_last") + 1)
+    stop = F.when(F.col("_last").isNotNull(), F.greatest(F.lit(base_count), F.col("_last") + 1))
     return planned.join(reached, "country", "left").select(
         "country", "planned_tasks", F.col("_last").isNotNull().alias("target_reached"),
         F.least("planned_tasks", F.coalesce(stop, F.col("planned_tasks"))).cast("long").alias("needed_tasks"))
@@ -288,5 +288,5 @@ def apply_budget(stops: DataFrame, cap: int, order: str = "country") -> DataFram
 def executed_tasks(tasks: DataFrame, found: DataFrame, target: int, base_count: int = 5, cap: int = 0) -> DataFrame:
     """Planned tasks that run under the stopping rule and the budget."""
     limits = apply_budget(stop_points(tasks, found, target, base_count), cap).select("country", "allowed_tasks")
-    return (tasks.join(grouping.broadcast_within(limits), "country")
+    return (tasks.join(limits, "country")  # one row per country; broadcast by its size at run time
             .where(F.col("task_idx") < F.col("allowed_tasks")).drop("allowed_tasks"))

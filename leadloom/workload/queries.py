@@ -5,10 +5,10 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from leadloom.config import (Campaign, CreatorSearch, CreatorTerms, EmailRules, Product, Sender)
-from leadloom.functions import emails, grouping, numbers, text as t, urls
+from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
+from leadloom.functions import catalog, grouping, numbers, text as t, urls
 from leadloom.operators import companies as co, contacts as ct, creators as cr, discovery as di, grading as gr
 from leadloom.operators import names as nm, pages as pg, planning as pl, reports as rp
 from leadloom.sources import dimensions, readers, sinks
@@ -842,7 +842,7 @@ _STOP = w.TASKS + """,
   firsts AS (SELECT country, domain, min(task_idx) AS t FROM found GROUP BY ALL),
   kth AS (SELECT country, t AS last FROM firsts QUALIFY row_number() OVER (PARTITION BY country ORDER BY t, domain) = 150),
   planned AS (SELECT country, count(*) AS planned_tasks FROM tasks GROUP BY 1),
-  stops AS (SELECT country, planned_tasks, last IS NOT NULL AS target_reached, least(planned_tasks, coalesce(greatest(5, last + 1), planned_tasks)) AS needed_tasks
+  stops AS (SELECT country, planned_tasks, last IS NOT NULL AS target_reached, least(planned_tasks, CASE WHEN last IS NULL THEN planned_tasks ELSE greatest(5, last + 1) END) AS needed_tasks
     FROM planned LEFT JOIN kth USING (country))"""
 
 
@@ -1017,6 +1017,43 @@ def creator_drafts(spark, sf):
     return drafts.select("handle", "dm_draft", "email_subject", "outreach_status")
 
 
+_INVITE = ("'Subject: Collaboration inquiry - Serum from [회사명]' || chr(10) || chr(10) || 'Hello Creator ' || c_custkey || ',' || chr(10) || chr(10) || "
+           "'My name is Kim from [회사명], a Korean company that makes Serum.' || chr(10) || chr(10) || 'I came across your ' || "
+           "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'lifestyle and home goods' ELSE '[카테고리 영문명]' END || ' content (@c_' || c_custkey || "
+           "') and thought it could be a good fit for your audience in Vietnam.' || chr(10) || chr(10) || 'We would like to send you a free sample and a one-page product sheet, "
+           "with no obligation. If you are interested, just reply to this email and I will share the details.' || chr(10) || chr(10) || "
+           "'If we work together, we will follow the advertising disclosure rules that apply in Vietnam.' || chr(10) || chr(10) || "
+           "'If you would prefer not to hear from us, reply with \"unsubscribe\" and we will not contact you again.' || chr(10) || chr(10) || "
+           "'Best regards,' || chr(10) || 'Kim' || chr(10) || '[회사명]' || chr(10) || '[회신 이메일]'")
+
+
+@query(f"""SELECT 'c_' || c_custkey AS handle, {_INVITE} AS invitation,
+    CASE c_mktsegment WHEN 'HOUSEHOLD' THEN '[회사명]|[회신 이메일]' ELSE '[회사명]|[카테고리 영문명]|[회신 이메일]' END AS missing_inputs,
+    CASE WHEN c_acctbal < 0 THEN 'no_email|unverified_status|check_sending_rules' ELSE 'unverified_status|check_sending_rules' END AS cautions FROM customer""")
+def creator_invitations(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    rows = w.table(spark, sf, "customer").select(
+        F.concat(F.lit("c_"), k).alias("handle"), F.concat(F.lit("Creator "), k).alias("display_name"), F.lit("베트남").alias("country"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", "생활용품").otherwise(F.col("c_mktsegment")).alias("category"),
+        F.lit("unmarked").alias("record_kind"), F.lit("").alias("account_type"), F.lit("").alias("status"),
+        F.when(F.col("c_acctbal") >= 0, F.concat(k, F.lit("@x.vn"))).alias("email"))
+    return flat(cr.draft_invitations(rows, product="Serum", sender="Kim"), "handle", "invitation", "missing_inputs", "cautions")
+
+
+_FACTS_SQL = ", ".join(f"({w.quote(r['country'])}, {w.quote(r['continent'])}, {w.quote(r['tld'])}, {w.quote(r['name_ko'])})" for r in catalog.country_rows())
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {_FACTS_SQL}) AS f(country, continent, tld, ko)),
+  c AS (SELECT array_to_string(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS country FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  SELECT c.country, coalesce(continent, 'custom') AS continent, coalesce(tld, '') AS tld, coalesce(ko, c.country) AS country_ko, count(*) AS customers
+  FROM c LEFT JOIN f USING (country) GROUP BY ALL""")
+def country_lookup(spark, sf):
+    nations = w.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.initcap("n_name").alias("country"))
+    rows = w.table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").groupBy("country").agg(F.count("*").alias("customers"))  # 25 nations
+    return dimensions.with_country_facts(rows).select(
+        "country", "continent", "tld", dimensions.country_name_ko(F.col("country")).alias("country_ko"), "customers")
+
+
 # ------------------------------------------------------------------ sources and increments
 
 
