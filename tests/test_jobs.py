@@ -281,3 +281,106 @@ def test_merge_matches_loop(spark):
     assert len(fields) == 10
     got = {r.record_id: r.owner_id for r in companies.assign_owners(df).collect()}
     assert got == owner
+
+
+# ------------------------------------------------------------------ queries without a SQL form
+
+
+def test_phones_match_search_in_python(spark):
+    import re
+    from leadloom.functions import vocabulary as v
+    rng = random.Random(2)
+    words = ["tel", "hotline", "tax code", "registration no", "abc", "xyz", "liên hệ", "mã số thuế"]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(words) if rng.random() < 0.5 else "".join(rng.choice("0123456789") for _ in range(rng.randint(3, 14)))
+                 + rng.choice(["", " 22", "-333", ".44 "]) for _ in range(rng.randint(1, 60))]
+        texts.append(" ".join(parts))
+
+    def expected(text):
+        ranked = []
+        for match in re.finditer(r"(?:\+?\d[\d\s().-]{7,}\d)", text):
+            before, after = text[max(0, match.start() - 100):match.start()].lower(), text[match.end():match.end() + 100].lower()
+            last = lambda terms: max(before.rfind(x) for x in terms)
+            first = lambda terms: min((after.find(x) for x in terms if x in after), default=-1)
+            phone, other, phone_after, other_after = last(v.PHONE_HINTS), last(v.NON_PHONE_HINTS), first(v.PHONE_HINTS), first(v.NON_PHONE_HINTS)
+            if other > phone or (other_after >= 0 and (phone_after < 0 or other_after < phone_after)):
+                continue
+            ranked.append((0 if phone >= 0 or phone_after >= 0 else 1, match.start(), match.group().strip()))
+        return list(dict.fromkeys(raw for _, _, raw in sorted(ranked)))[:10]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.phones for r in df.select("id", pages.phone_candidates(F.col("text")).alias("phones")).collect()}
+    assert got == {i: expected(x) for i, x in enumerate(texts)}
+
+
+def test_expansion_matches_loop(spark):
+    from leadloom.functions import catalog
+    for products in (["a"], ["a", "b c"], ["importer x", "y", "z", "q", "r", "s"]):
+        roles, more = catalog.BUYER_ROLES["food"], catalog.EXPANSION_ROLES["food"]
+        base = list(dict.fromkeys(f"{products[i % len(products)]} {roles[i % 5]}" for i in range(max(len(products), 5))))[:10]
+        seen, want = {k.lower() for k in base}, []
+        for offset in range(3):
+            for i, product in enumerate(products):
+                keyword = f"{product} {more[(i + offset) % 3]}"
+                if keyword.lower() not in seen and len(want) < 3:
+                    seen.add(keyword.lower())
+                    want.append(keyword)
+        df = spark.createDataFrame([("m", "food", products)], "major string, industry string, products array<string>")
+        got = planning.plan_keywords(df).where("phase = 'expansion'").orderBy("position").collect()
+        assert [r.keyword for r in got] == want
+
+
+def test_backfill_and_refill(spark):
+    from leadloom.sources.dimensions import with_country_facts
+    campaign = Campaign(products=("shampoo",), countries=("Vietnam", "Narnia"), search_mode="balanced")
+    facts = with_country_facts(spark.createDataFrame([("Vietnam", 0), ("Narnia", 1)], "country string, country_idx int"))
+    rows = planning.backfill_queries(facts, ["k1"], campaign).orderBy("country", "position").collect()
+    vietnam = [r.query for r in rows if r.country == "Vietnam"]
+    assert vietnam[0] == "Vietnam shampoo nhà nhập khẩu nhà phân phối phân phối"
+    assert vietnam[1] == "site:.vn shampoo nhà nhập khẩu nhà phân phối"
+    assert vietnam[2] == "Vietnam shampoo importer distributor wholesaler company" and vietnam[-1] == "Vietnam k1 official website contact"
+    assert len(vietnam) == 12 and len([r for r in rows if r.country == "Narnia"]) == 11
+    tail = planning.exclusions()
+    plan = [(r.country, r.query) for r in planning.refill_queries(facts, ["k1"], ["shampoo"], campaign).collect()]
+    assert plan[0] == ("Vietnam", f"Vietnam dầu gội nhà phân phối {tail}")
+    assert plan[1] == ("Vietnam", f"Vietnam k1 company {tail}") and plan[2] == ("Narnia", f"Narnia k1 company {tail}")
+    assert plan[-1] == ("Narnia", f"Narnia shampoo importer distributor {tail}") and len(plan) == len(set(plan))
+
+
+def test_page_text_matches_the_standard_parser(spark):
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "svg", "template")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "noscript", "svg", "template"):
+                self.hidden = max(0, self.hidden - 1)
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words += data.split()
+
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html")
+    read = {r.url: r.text for r in pages.extract_pages(table).select("url", "text").collect()}
+    for row in table.collect():
+        reader = Reader()
+        reader.feed(row.html)
+        reader.close()
+        assert read[row.url] == " ".join(reader.words)
+
+
+def test_hot_key_plans_reduce_before_the_shuffle(spark):
+    rows = [(i, "V", "hot.vn", f"https://hot.vn/{i}", "official", i % 7) for i in range(2000)]
+    df = spark.createDataFrame(rows, "arrival long, country string, domain string, url string, profile string, candidate_score int")
+    df = df.withColumns({c: F.lit("") for c in ("keyword", "query", "title", "content")})
+    pool = discovery.pool_candidates(df)
+    plan = pool._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "partial_min_by" in plan
+    assert pool.first()["hits"] == 2000
