@@ -37,9 +37,16 @@ def is_valid(email: Column, rules: EmailRules) -> Column:
             & ~t.has_substring(email, rules.blocked_parts))
 
 
-def normalize(raw: Column, rules: EmailRules = EmailRules()) -> Column:
-    """Lower-case valid address, or NULL."""
-    return t.let(tidy(raw), lambda email: F.when(is_valid(email, rules), email))
+def ascii_host(email: Column) -> Column:
+    """Address whose host is in its ASCII form, by the converter of the Java runtime."""
+    host = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.substring_index(email, "@", -1))
+    return F.when(email.rlike(r"@.*[^\x00-\x7F]"), F.concat(F.substring_index(email, "@", 1), F.lit("@"), F.lower(host))).otherwise(email)
+
+
+def normalize(raw: Column, rules: EmailRules = EmailRules(), idn: bool = False) -> Column:
+    """Lower-case valid address, or NULL. ``idn`` also accepts hosts with non-ASCII letters."""
+    address = ascii_host(tidy(raw)) if idn else tidy(raw)
+    return t.let(address, lambda email: F.when(is_valid(email, rules), email))
 
 
 def decode_obfuscated(value: Column, rules: EmailRules = EmailRules()) -> Column:

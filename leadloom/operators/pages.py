@@ -160,7 +160,7 @@ def page_emails(text: Column, anchors: Column, rules: EmailRules = EmailRules())
         body.contains("@"), F.regexp_extract_all(body, F.lit(emails.ADDRESS), F.lit(0))).otherwise(t.strings([])))
     mailto = F.filter(anchors, lambda a: F.lower(a["href"]).startswith("mailto:"))
     raw = F.concat(in_text, F.transform(mailto, lambda a: a["href"]))
-    valid = F.transform(F.array_distinct(raw), lambda found: emails.normalize(found, rules))
+    valid = F.transform(F.array_distinct(raw), lambda found: emails.normalize(found, rules, idn=True))
     return F.array_sort(F.array_distinct(F.array_compact(valid)))
 
 

@@ -57,6 +57,8 @@ def test_addresses(spark):
              "a@acme": None, "x@sentry.io": None, "a@b@c.vn": None, "pic@2x.png": None, "mailto:q@acme.vn?subject=1": "q@acme.vn"}
     for raw, clean in cases.items():
         assert value(spark, emails.normalize(F.lit(raw))) == clean, raw
+    assert value(spark, emails.normalize(F.lit("a@bücher.de"), idn=True)) == "a@xn--bcher-kva.de"
+    assert value(spark, emails.normalize(F.lit("a@bücher.de"))) is None
     assert value(spark, emails.purpose(F.lit("three@acme.vn"))) == "recruiting"  # "hr" is inside "three"
     assert not value(spark, emails.is_sendable(F.lit("no-reply@acme.vn")))
     assert not value(spark, emails.is_sendable(F.lit("a@example.org"), EmailRules(blocked_parts=())))

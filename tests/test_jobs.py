@@ -192,7 +192,7 @@ def test_products(spark):
 HTML = """<html><head><title>A &amp; B | Trang chủ</title><meta property="og:site_name" content="Acme > Co">
 <script type="application/ld+json">{"@graph":[{"@type":["Store"],"name":"N","legalName":"Acme LLC"}]}</script></head>
 <body><!-- c@x.vn --><a href="../lien-he">Contact <b>us</b></a><a href="mailto:Sales%40acme.vn?x=1">m</a>
-<a href=https://other.com/x>o</a><a href="https://facebook.com/a">f</a> a [at] acme [dot] vn <svg><text>hid</text></svg></body></html>"""
+<a href=https://other.com/x>o</a><a href="mailto:i@bücher.de"></a><a href="https://facebook.com/a">f</a> a [at] acme [dot] vn <svg><text>hid</text></svg></body></html>"""
 
 
 def test_page_extraction(spark):
@@ -200,7 +200,7 @@ def test_page_extraction(spark):
     row = page.first()
     assert row.text == "A & B | Trang chủ Contact us m o f a [at] acme [dot] vn"
     assert (row.title, row.site_name, row.jsonld_name) == ("A & B | Trang chủ", "Acme > Co", "Acme LLC")
-    assert row.emails == ["a@acme.vn", "sales@acme.vn"] and row.links == ["https://acme.vn/a/lien-he"]
+    assert row.emails == ["a@acme.vn", "i@xn--bcher-kva.de", "sales@acme.vn"] and row.links == ["https://acme.vn/a/lien-he"]
     assert [r.root_url for r in pages.external_company_links(page).collect()] == ["https://other.com/"]
 
 
