@@ -114,13 +114,12 @@ def run_summary(companies: DataFrame, approved: DataFrame, holds: DataFrame, cam
         _count(depth == "homepage_only").alias("homepage_only"),
         _count(depth == "homepage_complete").alias("homepage_complete"),
         _count(depth == "deep_contact").alias("deep_contact_review"))
-    mail = approved.agg(F.count("*").alias("sendable"), F.count_distinct("company_id").alias("mailing_companies"))
-    held = holds.agg(F.count("*").alias("access_holds"))
-    # Three one-row tables are put side by side by a constant key.
-    one = lambda df: df.withColumn("_one", F.lit(1))
+    mail = approved.agg(F.struct(F.count("*").alias("sendable"), F.count_distinct("company_id").alias("mailing_companies")))
+    held = holds.agg(F.count("*"))
     goal = campaign.qualified_target or campaign.target_per_country * len(campaign.countries)
     c, calls = F.col, max(credits, 1)
-    wide = one(facts).join(one(mail), "_one").join(one(held), "_one").drop("_one")
+    wide = facts.select("*", mail.scalar().alias("_m"), held.scalar().alias("access_holds")).select(
+        "*", "_m.sendable", "_m.mailing_companies").drop("_m")
     reached = wide.withColumns({
         "usable_list": c("tier_a") + c("tier_b") + c("tier_c") + c("strategic") + c("reference"),
         "customer_list": c("tier_a") + c("tier_b") + c("tier_c") + c("strategic"),
@@ -286,13 +285,12 @@ def next_industry(summary: DataFrame) -> DataFrame:
 
 def creator_summary(top: DataFrame, results: DataFrame, gated: DataFrame) -> DataFrame:
     """One row of counts of a creator search."""
-    one = lambda df: df.withColumn("_one", F.lit(1))
     drafted = F.col("outreach_status") == "drafted" if "outreach_status" in top.columns else F.lit(False)
     best = top.agg(F.count("*").alias("records"), *[_count(F.col("grade") == g).alias(f"tier_{g.lower()}") for g in "ABC"],
                    _count(F.col("public_email").isNotNull()).alias("public_emails"), _count(drafted).alias("dm_drafts"))
-    raw = results.agg(F.count("*").alias("raw_results"))
-    unique = gated.where(F.col("reject_reason").isNull()).agg(F.count_distinct("handle").alias("unique_profiles"))
-    return one(best).join(one(raw), "_one").join(one(unique), "_one").drop("_one")
+    raw = results.agg(F.count("*"))
+    unique = gated.where(F.col("reject_reason").isNull()).agg(F.count_distinct("handle"))
+    return best.select("*", raw.scalar().alias("raw_results"), unique.scalar().alias("unique_profiles"))
 
 
 # ------------------------------------------------------------------ report tables

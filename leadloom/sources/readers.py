@@ -26,7 +26,7 @@ def read_search_results(spark: SparkSession, path: str, multi_line: bool = True)
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Page corpus with `url` and `html`. Pages are read whole."""
-    pages = spark.read.format(fmt).load(path)
+    pages = spread_small(spark.read.format(fmt).load(path))
     return pages.where(F.coalesce("html", F.lit("")) != "")
 
 

@@ -77,11 +77,10 @@ def run_progress(batches: DataFrame, out: str, checkpoint: str, job_id: str) ->
     """Append one status row per batch; the latest row of a run is its state (`read_run_history`)."""
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _stored(spark, out, "progress_done long", batch_id).agg(F.coalesce(F.max("progress_done"), F.lit(0)).alias("_d"))
-        count = batch.agg(F.count("*").alias("_n"))
-        row = done.withColumn("_one", F.lit(1)).join(count.withColumn("_one", F.lit(1)), "_one").select(
+        before = _stored(spark, out, "progress_done long", batch_id).agg(F.coalesce(F.max("progress_done"), F.lit(0)))
+        row = batch.agg(F.count("*").alias("_n")).select(
             F.lit(job_id).alias("job_id"), F.lit("running").alias("status"),
-            F.current_timestamp().cast("string").alias("updated_at"), (F.col("_d") + F.col("_n")).alias("progress_done"))
+            F.current_timestamp().cast("string").alias("updated_at"), (before.scalar() + F.col("_n")).alias("progress_done"))
         _store(row, out, batch_id)
 
     return _start(batches, each, checkpoint)

@@ -96,7 +96,7 @@ def _plain_sql(column: str) -> str:
   SELECT url, {_plain_sql("regexp_replace(h, '(?s)<[!/?a-zA-Z][^>]*>', ' ', 'g')")} AS text,
     {_plain_sql("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")} AS title FROM v""")
 def page_texts(spark, sf):
-    return pg.extract_pages(w.table(spark, sf, "pages").select("url", "html")).select("url", "text", "title")
+    return pg.extract_pages(readers.read_pages(spark, f"{sf}/pages.parquet").select("url", "html")).select("url", "text", "title")
 
 
 @query(f"""WITH v AS (SELECT url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
