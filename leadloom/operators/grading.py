@@ -122,14 +122,23 @@ def score_country(prepared: DataFrame, markers=v.LOCAL_LANGUAGE_MARKERS, cities=
 
 # ------------------------------------------------------------------ products
 
-def product_matches(text: Column, products, country: str = "") -> Column:
-    """(product, alias) pairs whose words occur in the text; accents and punctuation do not matter."""
-    rows = [{"product": p, "alias": a, "words": f" {t.fold_python(a)} "}
-            for p in products for a in catalog.product_aliases(p, country) if t.fold_python(a)]
+def product_matches(text: Column, products, country: Column | str = "") -> Column:
+    """(product, alias) pairs whose words occur in the text; accents and punctuation do not matter.
+
+    Local phrases of a country only count where ``country``, a name or a column, is that country.
+    """
+    place = F.lit(country) if isinstance(country, str) else country
+    rows = []
+    for product in products:
+        everywhere = catalog.product_aliases(product)
+        local = [a for a in catalog.product_aliases(product, "Vietnam") if a not in everywhere]
+        rows += [{"product": product, "alias": a, "words": f" {t.fold_python(a)} ", "country": where}
+                 for aliases, where in ((everywhere, None), (local, "Vietnam")) for a in aliases if t.fold_python(a)]
     rules = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)),
-                        "array<struct<product: string, alias: string, words: string>>")
+                        "array<struct<product: string, alias: string, words: string, country: string>>")
     padded = F.concat(F.lit(" "), t.words(text), F.lit(" "))
-    return t.let(padded, lambda body: F.filter(rules, lambda r: body.contains(r["words"])))
+    return t.let(padded, lambda body: F.filter(
+        rules, lambda r: body.contains(r["words"]) & (r["country"].isNull() | (r["country"] == place))))
 
 
 def match_products(docs: DataFrame, products, text: str = "text", key: str = "doc_id", country: str = "") -> DataFrame:
@@ -163,9 +172,8 @@ def score_roles(scored: DataFrame, campaign: Campaign) -> DataFrame:
     identity, named = "_identity", "_named"
     beauty = campaign.industry in v.BEAUTY_INDUSTRIES
     role_terms = v.BUYER_IDENTITY_TERMS + v.SUPPLIER_TERMS + v.EXTRA_IMPORT_TERMS
-    region = campaign.countries[0] if campaign.countries else ""
     first = scored.withColumns({
-        "product_matches": product_matches(F.col(identity), campaign.products, region),
+        "product_matches": product_matches(F.col(identity), campaign.products, F.col("target_country")),
         "_term_hits": _hits(identity, campaign.industry_terms()),
         "_role_terms": _hits(named, role_terms),
         "_local_roles": F.filter("local_buyer", lambda term: t.present(F.col(named), F.lower(term))),

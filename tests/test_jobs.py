@@ -187,6 +187,15 @@ def test_products(spark):
     assert [(r.doc_id, r.product, r.aliases) for r in got] == [(1, "sheet masks", ["sheet mask", "mặt nạ giấy"])]
 
 
+def test_local_phrases_count_in_their_country_only(spark):
+    rows = [(1, "A", "https://a.vn", "Vietnam", "bán kem chống nắng"), (2, "A", "https://a.fr", "France", "bán kem chống nắng")]
+    df = spark.createDataFrame(rows, "id int, company_name string, website string, target_country string, identity_text string")
+    campaign = Campaign(industry="household", group="화장품·스킨케어", subcategories=("스킨케어",), products=("sunscreen",), countries=("France", "Vietnam"))
+    got = {r.id: r.industry_assessments[0] for r in grading.assess_companies(df, campaign).collect()}
+    assert got[1].product_alias_hits == {"sunscreen": ["kem chống nắng"]} and got[1].matched_subcategories == ["스킨케어"]
+    assert got[2].product_hits == []
+
+
 # ------------------------------------------------------------------ pages and names
 
 HTML = """<html><head><title>A &amp; B | Trang chủ</title><meta property="og:site_name" content="Acme > Co">
