@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe, common, language, quality, simhash
+from leadloom.llm import bpe, common, language, quality, rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return quality.scores(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+@query()
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(common.table(spark, sf_dir, "documents"))
