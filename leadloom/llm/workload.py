@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe, brown, common, language, quality, rules, secrets, simhash
+from leadloom.llm import bpe, brown, common, extract, language, quality, rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(common.table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(common.table(spark, sf_dir, "pages"))
