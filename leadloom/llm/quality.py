@@ -144,3 +144,13 @@ def scores(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, parts:
                 yield doc_id, common.bucket_of(doc_id, parts) == held, found, int(found >= threshold)
         return common.batches_of(each(), SCORED)
     return common.texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, whole and with their columns, whose text scores ``threshold`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            good = [score(cell.as_py() or "", weights) >= threshold for cell in column]
+            yield batch.filter(pa.array(good, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

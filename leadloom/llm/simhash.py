@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """``doc_id`` and ``bits`` of the one document that stays of each component: the one with the smallest id."""
-    found = near_duplicates(docs, radius)
-    return found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def distinct_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stand for their component: those with its smallest id, and rows without an id."""
+    others = near_duplicates(docs, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("other")).distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == others["other"], "left_anti")

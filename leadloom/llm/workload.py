@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe, brown, common, extract, language, quality, rules, secrets, simhash
+from leadloom.llm import bpe, brown, common, contamination, extract, language, lines, quality, rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,14 @@ def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(common.table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup(common.table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "row.text", "n_lines", "n_removed")
