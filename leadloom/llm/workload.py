@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe, brown, common, contamination, extract, language, lines, quality, rules, secrets, simhash
+from leadloom.llm import bpe, brown, common, contamination, extract, language, lines, oracles, quality, rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,7 +50,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
-@query()
+@query(oracles.SECRETS)
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
@@ -70,7 +70,7 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(common.table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(oracles.CONTAMINATION)
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
