@@ -3,7 +3,8 @@
 Each rule looks at one statistic of a text and votes 1 (good), -1 (poor) or 0 (abstains). Texts are counted by their pattern of
 votes (at most 3 to the number of rules, whatever the size of the corpus); expectation-maximisation over these counts gives the
 share of good texts and each rule's vote probabilities in both classes; the posterior of a text is a sum of its votes' log-odds.
-A text passes when that posterior reaches ``threshold``: no single rule can drop it.
+A text passes when that posterior reaches ``threshold``; how much one
+vote counts is what the corpus shows, and a text that no rule finds fault with always passes.
 
 All statistics are DataFrame expressions over the row, so nothing is shuffled but the vote patterns. Words are runs of anything
 but the six ASCII white-space characters. Null texts count as empty: no words, base rule failed, not kept. Repeated rows agree,
@@ -96,7 +97,7 @@ def rules() -> dict[str, Column]:
         "repeats": fault(F.col("n_repeat_words") / words, 0.40),
         "dup_lines": fault(F.col("n_dup_lines") / lines, 0.50),
         "word_length": F.when((F.col("word_chars") / words).between(3.0, 9.0), 1).when((F.col("word_chars") / words < 2.0) | (F.col("word_chars") / words > 12.0), -1).otherwise(0),
-        "function_words": F.when(F.col("n_function_words") >= 3, 1).when((F.col("n_function_words") == 0) & (words >= 50), -1).otherwise(0),
+        "function_words": F.when(F.col("n_function_words") >= 3, 1).otherwise(0),  # other languages abstain
     }
     return {name: F.when(some, v).otherwise(0) for name, v in votes.items()} | {"length": F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") < 15, -1).otherwise(0)}
 
