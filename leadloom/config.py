@@ -30,6 +30,8 @@ class Campaign:
     countries: tuple[str, ...] = ("Vietnam",)
     search_mode: str = "balanced"
     candidate_limit: int = 80
+    # Most candidates of a run before the pages are read; None takes all.
+    candidate_ceiling: int | None = 300
     email_target: int = 20
     target_per_country: int = 10
     qualified_target: int = 0
@@ -56,8 +58,8 @@ class Campaign:
 
     @property
     def discovery_limit(self) -> int:
-        wanted = int(self.candidate_limit * OVERSAMPLE.get(self.search_mode, 2.0) + 0.999)
-        return min(300, max(self.candidate_limit, wanted))
+        wanted = max(self.candidate_limit, int(self.candidate_limit * OVERSAMPLE.get(self.search_mode, 2.0) + 0.999))
+        return wanted if self.candidate_ceiling is None else min(self.candidate_ceiling, wanted)
 
     @property
     def per_country_limit(self) -> int:
@@ -90,8 +92,11 @@ class EmailRules:
     purposes: tuple[tuple[str, str], ...] = v.EMAIL_PURPOSES
     autoreply_locals: tuple[str, ...] = v.AUTOREPLY_LOCALS
     placeholder_hosts: tuple[str, ...] = v.PLACEHOLDER_MAIL_HOSTS
-    # Shape of a top-level domain; pass `tlds` to the harvest job to check against a full list.
+    # Top-level domains. A full list (`sources.readers.read_tlds`) is checked wherever an address is read; without one the
+    # shape counts, less endings of files and names that are kept for local use.
+    tlds: tuple[str, ...] = ()
     tld_pattern: str = r"^(?:[a-z]{2,24}|xn--[a-z0-9-]{1,59})$"
+    no_tlds: tuple[str, ...] = v.NO_TLDS
 
 
 @dataclass(frozen=True)

@@ -33,10 +33,16 @@ def is_valid(email: Column, rules: EmailRules) -> Column:
             & (F.length(email) - F.length(F.replace(email, F.lit("@"))) == 1)
             & (F.length(local) <= 64) & (F.length(email) <= 254)
             & ~local.rlike(r"^\.|\.$|\.\.")
-            & host.rlike(_HOST) & F.substring_index(host, ".", -1).rlike(rules.tld_pattern)
+            & host.rlike(_HOST) & is_tld(F.substring_index(host, ".", -1), rules)
             & ~t.has_substring(email, rules.blocked_parts))
 
 
+def is_tld(label: Column, rules: EmailRules) -> Column:
+    if rules.tlds:
+        return label.isin(*rules.tlds)
+    return label.rlike(rules.tld_pattern) & ~label.isin(*rules.no_tlds)
+
+
 def ascii_host(email: Column) -> Column:
     """Address whose host is in its ASCII form, by the converter of the Java runtime."""
     host = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.substring_index(email, "@", -1))

@@ -5,10 +5,9 @@ receives a whole hot group.
 """
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def best_row(columns, *order: Column) -> Column:
@@ -16,14 +15,19 @@ def best_row(columns, *order: Column) -> Column:
     return F.min_by(F.struct(*columns), F.struct(*order))
 
 
-def first_k(df: DataFrame, keys, order, k: int) -> DataFrame:
+def first_k(df: DataFrame, keys, order, k: int, spread=None, salts: int = 64) -> DataFrame:
     """First ``k`` rows of each group, with their place in ``place``.
 
-    Spark turns ``row_number() <= k`` into a limit inside each map task (WindowGroupLimit), so at
-    most ``k`` rows of a group leave a task.
+    Rows are ranked inside (key, salt) first, so a key with a third of all rows is spread over ``salts`` groups and
+    hands on ``salts * k`` rows at most, for any ``k``. The salt is a hash of the columns ``spread`` (default: ``order``,
+    if that is a list of names), which should tell rows of a group apart.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    salt = F.pmod(F.xxhash64(*(spread or order)), F.lit(salts))
+    inner = Window.partitionBy(*keys, "_salt").orderBy(*columns)
+    few = df.withColumn("_salt", salt).withColumn("_inner", F.row_number().over(inner)).where(F.col("_inner") <= k)
+    window = Window.partitionBy(*keys).orderBy(*columns)
+    return few.drop("_salt", "_inner").withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
 
 
 def first_k_array(df: DataFrame, keys, order, k: int, value: str, name: str) -> DataFrame:
@@ -65,18 +69,20 @@ def settle(df: DataFrame, *columns: str) -> DataFrame:
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in reliable storage, so a lost executor costs a re-read and not a re-run."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_dir())
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def _local_dir() -> str:
-    """Used only where the session names no shared folder, as in tests on one machine."""
-    return tempfile.mkdtemp(prefix="leadloom-", dir=os.environ.get("TMPDIR", "/tmp"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
 
-
-def broadcast_within(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a lookup table only after its row count is checked; otherwise leave the join to AQE."""
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    A session on one machine that names none gets a folder of its own there; a cluster must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="leadloom-")

@@ -52,6 +52,14 @@ COUNTRY_TLDS = (
     "in", "kr",
 )
 
+# Last labels that are no top-level domain: names kept for local use, endings of web files.
+NO_TLDS = (
+    "local", "localhost", "localdomain", "internal", "intranet", "lan", "corp", "home", "invalid", "test", "example", "onion",
+    "js", "mjs", "jsx", "ts", "tsx", "css", "scss", "less", "map", "json", "xml", "html", "htm", "xhtml", "php", "asp", "aspx",
+    "jsp", "png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "ico", "bmp", "tif", "tiff", "woff", "ttf", "otf", "eot", "pdf",
+    "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "txt", "webm", "ogg", "wav", "avi", "exe", "dll", "bin", "min", "bundle",
+)
+
 FREE_MAIL_HOSTS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com")
 PLACEHOLDER_MAIL_HOSTS = ("addresshere.com", "example.com", "example.org", "example.net", "yourdomain.com")
 

@@ -1,6 +1,8 @@
 """From search results to a ranked pool of company domains."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.config import DISCOVERY_SOURCES, ECOSYSTEM, LOCAL_MARKET, OFFICIAL, Campaign, ResultRules
@@ -161,12 +163,18 @@ def add_directory_links(pool: DataFrame, links: DataFrame) -> DataFrame:
         pick("alternate_urls", F.array(link.root_url)), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-def top_candidates(pool: DataFrame, per_country: int, overall: int) -> DataFrame:
-    """Best candidates of each country by score, official ones first on a tie, then the overall cap."""
+def top_candidates(pool: DataFrame, per_country: int, overall: int | None, countries: Sequence[str] = ()) -> DataFrame:
+    """Best candidates of each country by score, official ones first on a tie, then the overall limit.
+
+    Countries come in the order of ``countries``, others after them by name. ``overall`` None takes all.
+    """
     official = F.array_contains("discovery_source", OFFICIAL)
     order = [F.col("candidate_score").desc(), official.desc(), F.col("arrival"), F.col("domain")]
-    ranked = grouping.first_k(pool, ["country"], order, per_country).withColumnRenamed("place", "country_rank")
-    return ranked.orderBy("country", "country_rank").limit(overall)
+    ranked = grouping.first_k(pool, ["country"], order, per_country, ["domain"]).withColumnRenamed("place", "country_rank")
+    if overall is None:
+        return ranked
+    place = F.array_position(t.strings(list(countries)), F.col("country"))
+    return ranked.orderBy(F.when(place > 0, place).otherwise(len(countries) + 1), "country", "country_rank").limit(overall)
 
 
 def pending_candidates(candidates: DataFrame, completed: DataFrame) -> DataFrame:

@@ -167,11 +167,11 @@ def page_emails(text: Column, anchors: Column, rules: EmailRules = EmailRules())
 def harvest_emails(extracted: DataFrame, rules: EmailRules = EmailRules(), tlds: DataFrame | None = None) -> DataFrame:
     """One row per page and address, with the priority of the page as a source.
 
-    ``tlds`` (column ``tld``) replaces the shape rule for top-level domains by a full list.
+    ``tlds`` (column ``tld``) is a full list of top-level domains; ``rules.tlds`` is checked wherever an address is read.
     """
     rows = extracted.select("url", "host", "domain", F.explode("emails").alias("email"))
     if tlds is not None:
-        known = grouping.broadcast_within(tlds.select(F.lower("tld").alias("_tld")).distinct())
+        known = tlds.select(F.lower("tld").alias("_tld")).distinct()  # broadcast by its size in bytes, or not
         rows = rows.join(known, F.substring_index("email", ".", -1) == F.col("_tld"), "left_semi")
     return rows.withColumns({"source_priority": emails.source_priority(F.col("url")),
                              "email_purpose": emails.purpose(F.col("email"), rules)})
@@ -280,7 +280,7 @@ def pages_to_visit(companies: DataFrame, links: DataFrame, max_pages: int = 4) -
               .otherwise(max(0, max_pages - 1)))
     first = links.groupBy("domain", "url").agg(F.min("position").alias("position"))
     ranked = grouping.first_k(first.withColumn("source_priority", emails.source_priority(F.col("url"))), ["domain"],
-                              [F.col("source_priority").desc(), F.col("position"), F.col("url")], max(1, max_pages - 1))
+                              [F.col("source_priority").desc(), F.col("position"), F.col("url")], max(1, max_pages - 1), ["url"])
     wanted = companies.select("domain", budget.alias("page_budget")).where(F.col("page_budget") > 0)
     return ranked.join(wanted, "domain").where(F.col("place") <= F.col("page_budget"))
 

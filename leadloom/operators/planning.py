@@ -288,5 +288,5 @@ def apply_budget(stops: DataFrame, cap: int, order: str = "country") -> DataFram
 def executed_tasks(tasks: DataFrame, found: DataFrame, target: int, base_count: int = 5, cap: int = 0) -> DataFrame:
     """Planned tasks that run under the stopping rule and the budget."""
     limits = apply_budget(stop_points(tasks, found, target, base_count), cap).select("country", "allowed_tasks")
-    return (tasks.join(limits, "country")  # one row per country; broadcast by its size at run time
+    return (tasks.join(F.broadcast(limits), "country")  # one row per country
             .where(F.col("task_idx") < F.col("allowed_tasks")).drop("allowed_tasks"))

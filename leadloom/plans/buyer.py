@@ -27,6 +27,7 @@ class BuyerTables:
     candidates: DataFrame
     records: DataFrame
     companies: DataFrame
+    addresses: DataFrame
     contacts: DataFrame
     approved: DataFrame
     holds: DataFrame
@@ -45,7 +46,8 @@ def discover(results: DataFrame, campaign: Campaign, rules: ResultRules) -> tupl
     companies, _sources = discovery.split_ecosystem_sources(results, rules)
     filtered = discovery.prefilter_results(companies, rules)
     pool = discovery.pool_candidates(discovery.accepted(filtered))
-    return filtered, pool, discovery.top_candidates(pool, campaign.per_country_limit, campaign.discovery_limit)
+    overall = None if campaign.candidate_ceiling is None else campaign.discovery_limit
+    return filtered, pool, discovery.top_candidates(pool, campaign.per_country_limit, overall, campaign.countries)
 
 
 def _home_pages(extracted: DataFrame) -> DataFrame:
@@ -95,13 +97,22 @@ def visited_pages(provisional: DataFrame, home: DataFrame, extracted: DataFrame,
     return read.select("domain", F.filter("_pages", lambda p: p["place"] <= F.coalesce(stop, p["place"])).alias("visits"))
 
 
-def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_rules: EmailRules = EmailRules(),
-            grade_rules: GradeRules = GradeRules(), stage_dir: str | None = None) -> DataFrame:
-    """One graded record per candidate with a readable site."""
+def read_sites(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_rules: EmailRules = EmailRules(),
+               stage_dir: str | None = None) -> DataFrame:
+    """Page extracts of the candidates' sites, stored. Pages without text are left out: such a site counts as not readable."""
     keyed = pages.withColumn("_d", urls.registrable_domain("url"))
     wanted = candidates.select(F.col("domain").alias("_d")).distinct()
-    extracted = stage(pg.extract_pages(keyed.join(wanted, "_d", "left_semi").drop("_d"), email_rules),
-                      "page_extract", stage_dir)
+    if campaign.candidate_ceiling is not None:  # a stated number of domains: the pages need not be shuffled to meet them
+        wanted = F.broadcast(wanted)
+    extracted = stage(pg.extract_pages(keyed.join(wanted, "_d", "left_semi").drop("_d"), email_rules), "page_extract", stage_dir)
+    return extracted.where(F.trim("text") != "")
+
+
+def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_rules: EmailRules = EmailRules(),
+            grade_rules: GradeRules = GradeRules(), stage_dir: str | None = None, extracted: DataFrame | None = None) -> DataFrame:
+    """One graded record per candidate with a readable site; `email_candidates` holds every address of its visited pages."""
+    if extracted is None:
+        extracted = read_sites(candidates, pages, campaign, email_rules, stage_dir)
     home = _home_pages(extracted)
     provisional = stage(provisional_grades(candidates, home, campaign, grade_rules), "provisional", stage_dir)
     visits = visited_pages(provisional, home, extracted, campaign, email_rules)
@@ -119,6 +130,10 @@ def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_r
         ["email_source_url", "source_priority"], -F.col("source_priority"), F.col("email_source_url")).alias("_s")).select(
             "domain", "email", "_s.*")
     chosen = co.choose_contact(best, email_rules)
+    view = co.address_view(F.col("email"), F.col("email_source_url"), F.col("domain"), email_rules)
+    # The addresses of at most `max_pages_per_company` pages.
+    every = best.select("domain", F.struct(*[value.alias(name) for name, value in view.items()]).cast(co.ADDRESS).alias("_a")).groupBy(
+        "domain").agg(F.sort_array(F.collect_list("_a")).alias("email_candidates"))
     shown = deep.select(
         "domain", identity.alias("identity_text"), F.col("text").alias("home_text"),
         F.when(F.size("phones") > 0, F.col("phones")).otherwise(
@@ -132,7 +147,7 @@ def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_r
     dial = with_country_facts(final, "target_country")
     cleaned = F.filter(F.transform("phones", lambda p: pg.clean_phone(p, F.col("target_country"), F.col("dial"))),
                        lambda p: p.isNotNull())
-    record = dial.join(chosen, "domain", "left").withColumns({
+    record = dial.join(chosen, "domain", "left").join(every, "domain", "left").withColumns({
         "company_id": ids.company_id(F.col("domain")), "phone": F.get(cleaned, F.lit(0)),
         "record_id": F.concat_ws("|", "domain", "target_country"),
         "business_description": F.left(t.squash(F.col("home_text")), F.lit(500)),
@@ -152,10 +167,19 @@ def run(results: DataFrame, pages: DataFrame, campaign: Campaign, rules: ResultR
     rules = rules or ResultRules(industry_terms=campaign.industry_terms())
     filtered, pool, chosen = discover(results, campaign, rules)
     candidates = stage(chosen, "candidates", stage_dir)
-    records = stage(analyse(candidates, pages, campaign, email_rules, grade_rules, stage_dir), "records", stage_dir)
-    merged = co.dedup_companies(records, email_rules)
-    contacts = ct.review_contacts(ct.contact_list(merged, True, True, True, email_rules), campaign.include_external, email_rules)
-    keyed = pages.select(urls.registrable_domain("url").alias("domain"))
-    holds = discovery.hold_failed_candidates(candidates, keyed, campaign, rules)
-    return BuyerTables(filtered, pool, candidates, records, merged, contacts,
+    extracted = read_sites(candidates, pages, campaign, email_rules, stage_dir)
+    records = stage(analyse(candidates, pages, campaign, email_rules, grade_rules, stage_dir, extracted), "records", stage_dir)
+    owned = stage(co.assign_owners(records, email_rules), "owned", stage_dir)
+    merged = co.merge_owned(owned, records.columns, email_rules)
+    addresses = co.company_addresses(owned, email_rules)
+    contacts = ct.review_contacts(company_contacts(merged, addresses, email_rules), campaign.include_external, email_rules)
+    holds = discovery.hold_failed_candidates(candidates, extracted, campaign, rules)
+    return BuyerTables(filtered, pool, candidates, records, merged, addresses, contacts,
                        contacts.where(F.col("delivery_status") == "approved"), holds)
+
+
+def company_contacts(merged: DataFrame, addresses: DataFrame, rules: EmailRules = EmailRules()) -> DataFrame:
+    """The contact list of merged companies: one row per address, with every address of each company."""
+    companies = merged.drop(*co.EMAIL_FIELDS)
+    variants = companies.join(addresses.drop("mentions"), "owner_id").withColumn("position", F.lit(0))
+    return ct.listed_contacts(variants, True, True, True, rules)

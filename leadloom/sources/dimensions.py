@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadloom.functions import catalog
-from leadloom.functions.grouping import broadcast_within
 
 COUNTRY_FACTS = ("country string, continent string, tld string, dial string, aliases array<string>, "
                  "local_buyer array<string>, name_ko string")
@@ -19,9 +18,8 @@ def countries(spark: SparkSession) -> DataFrame:
 def with_country_facts(df: DataFrame, country: str = "country", facts: DataFrame | None = None) -> DataFrame:
     """Add top-level domain, dial code, aliases and buyer words; unknown countries get a default row."""
     fields = [F.col("country").alias("_country"), "continent", "tld", "dial", "aliases", "local_buyer"]
-    # The catalogue has 55 rows; a table given by the user is broadcast only when its size allows.
-    lookup = (F.broadcast(countries(df.sparkSession).select(*fields)) if facts is None
-              else broadcast_within(facts.select(*fields)))
+    # The catalogue has 55 rows; how a table given by the user is joined follows from its size in bytes.
+    lookup = F.broadcast(countries(df.sparkSession).select(*fields)) if facts is None else facts.select(*fields)
     default_words = F.array(F.lit("importer"), F.lit("distributor"))
     return (df.join(lookup, F.col(country) == F.col("_country"), "left").drop("_country")
             .withColumns({

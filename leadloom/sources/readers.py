@@ -26,17 +26,14 @@ def read_search_results(spark: SparkSession, path: str, multi_line: bool = True)
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Page corpus with `url` and `html`. Pages are read whole."""
-    pages = spread_small(spark.read.format(fmt).load(path))
+    pages = spark.read.format(fmt).load(path)
     return pages.where(F.coalesce("html", F.lit("")) != "")
 
 
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when its files give fewer splits than that.
-
-    Only a small input has so few splits; a large one keeps its own splits and is not shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def read_tlds(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Top-level domains of a root-zone list, one a line, as `EmailRules.tlds` takes them. The list has a few thousand lines."""
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("tld")).where("tld != '' AND NOT startswith(tld, '#')")
+    return tuple(sorted(r.tld for r in lines.distinct().collect()))
 
 
 def _number(value: Column, digits_only: bool) -> Column:

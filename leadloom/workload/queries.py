@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -44,10 +43,7 @@ def flat(df: DataFrame, *columns) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """New folder for tables a query writes, in the shared folder of the cluster where one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/leadloom-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix="leadloom-")
+    return f"{grouping.shared_dir(spark)}/leadloom-{os.urandom(6).hex()}"
 
 
 RULES = w.RULES
@@ -127,7 +123,8 @@ found AS (SELECT url, domain, lang, unnest(list_distinct(list_transform(
       lambda x: lower(regexp_replace(regexp_replace(x, '^[ \\t<>"'']+', ''), '[.,;:]+$', ''))))) AS email FROM docs),
 harvest AS (SELECT url, domain, email, CASE lang WHEN 'en' THEN 4 WHEN 'fr' THEN 2 WHEN 'de' THEN 0 ELSE 5 END AS source_priority FROM found
   WHERE regexp_matches(email, '^[a-z0-9!#$%&''*+/=?^_`{{|}}~-]+(\\.[a-z0-9!#$%&''*+/=?^_`{{|}}~-]+)*@[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*\\.([a-z]{{2,24}}|xn--[a-z0-9-]+)$')
-    AND length(split_part(email, '@', 1)) <= 64 AND length(email) <= 254)"""
+    AND length(split_part(email, '@', 1)) <= 64 AND length(email) <= 254
+    AND NOT regexp_matches(email, '\\.(local|localhost|internal|invalid|test|example|js|css|json|html|png|jpg|jpeg|gif|svg|webp|pdf|min|bundle)$'))"""
 
 
 @query(f"WITH {_HARVEST} SELECT url, domain, email, CAST(source_priority AS BIGINT) AS source_priority FROM harvest")
@@ -465,7 +462,7 @@ _CONTACTS = w.VARIANTS + f""",
 first AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY company_email ORDER BY {_LIST_RANK}, company_id, position, arrival) = 1),
 counts AS (SELECT company_email, count(DISTINCT email_source_url) AS source_count FROM ok GROUP BY 1),
 owners AS (SELECT DISTINCT placed.company_email, company_id FROM placed JOIN records USING (record_id)),
-related AS (SELECT company_email, count(*) AS related_company_count, string_agg(company_id, '|' ORDER BY company_id) AS related_company_ids FROM owners GROUP BY 1),
+related AS (SELECT company_email, count(*) AS related_company_count FROM owners GROUP BY 1),
 contacts AS (SELECT * FROM first JOIN counts USING (company_email) LEFT JOIN related USING (company_email))"""
 
 
@@ -478,10 +475,10 @@ def _unique_records(spark, sf) -> DataFrame:
 _UNIQUE = _CONTACTS.replace("'CMP-' || (k // 2) AS company_id", "'CMP-' || o || '-' || k AS company_id")
 
 
-@query(f"WITH {_UNIQUE} SELECT company_email, company_id, email_source_url, priority, source_count, related_company_count, related_company_ids FROM contacts")
+@query(f"WITH {_UNIQUE} SELECT company_email, company_id, email_source_url, priority, source_count, related_company_count FROM contacts")
 def contact_list(spark, sf):
     return flat(ct.contact_list(_unique_records(spark, sf), True, True, True), "company_email", "company_id", "email_source_url", "priority",
-                "source_count", "related_company_count", "related_company_ids")
+                "source_count", "related_company_count")
 
 
 @query(f"WITH {_UNIQUE} SELECT company_email, company_id FROM owners")

@@ -1,10 +1,13 @@
 """Readers, writers, incremental jobs and the whole campaign."""
+import contextlib
+import io
 import json
 
 from pyspark.sql import functions as F
 
-from leadloom.config import Campaign, CreatorSearch, Product, Sender
-from leadloom.operators import discovery
+from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
+from leadloom.functions import emails, grouping
+from leadloom.operators import companies, contacts, discovery
 from leadloom.plans import buyer, creator, delivery
 from leadloom.sources import dimensions, readers, sinks
 from leadloom.streaming import incremental
@@ -100,3 +103,56 @@ def test_run_progress(spark, tmp_path):
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.run_progress(stream, str(tmp_path / "out"), str(tmp_path / "state"), "job").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.max("progress_done")).first()[0] == 12
+
+
+def test_campaign_keeps_every_address(spark, tmp_path):
+    pages = spark.createDataFrame([
+        ("https://acme.vn/", page("Acme Beauty", 'We are an importer and exclusive distributor of cosmetics and skincare based in Vietnam. '
+                                                 'Address: 1 Hanoi, Vietnam. info@acme.vn <a href="/lien-he">Contact</a>')),
+        ("https://acme.vn/lien-he", page("Contact", "contact us sales@acme.vn or export@acme.vn, script jquery@3.6.0.min.js")),
+        ("https://hold.vn/", page("", ""))], "url string, html string")
+    campaign = Campaign(products=("facial serum",), group="화장품·스킨케어", subcategories=("스킨케어",), candidate_ceiling=None)
+    tables = buyer.run(results(spark), pages, campaign, stage_dir=str(tmp_path))
+    assert sorted(r.company_email for r in tables.contacts.where("company_name = 'Acme Beauty'").collect()) == ["export@acme.vn", "info@acme.vn", "sales@acme.vn"]
+    assert {r.domain for r in tables.holds.collect()} == {"hold.vn"}  # a page without text is not readable
+
+
+def test_address_shared_by_many_companies(spark):
+    fields = ("record_id string, company_id string, company_name string, company_email string, email_source_url string, email_status string, email_domain_status string, "
+              "email_grade string, email_purpose string, verification_score int, priority string, quality_decision string, industry_score int")
+    rows = [(str(k), f"CMP-{k:04d}", "A", "sales@acme.vn", f"https://acme.vn/{k}", "official", "same_domain", "A", "b2b", None, "A", "qualified", 2) for k in range(500)]
+    records = spark.createDataFrame(rows, fields)
+    got = contacts.contact_list(records).collect()
+    assert [(r.company_id, r.related_company_count, r.source_count) for r in got] == [("CMP-0000", 500, 500)]
+    assert contacts.contact_owners(companies.contact_variants(records)).count() == 500
+
+
+def test_first_k_spreads_a_hot_key_for_any_k(spark):
+    rows = spark.range(20_000).select(F.lit("hot").alias("key"), F.col("id"), F.pmod(F.hash("id"), F.lit(1000)).alias("n"))
+    found = grouping.first_k(rows, ["key"], ["n", "id"], 5000)
+    want = [(r.n, r.id) for r in rows.orderBy("n", "id").limit(5000).collect()]
+    assert [(r.n, r.id) for r in found.orderBy("place").collect()] == want
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        found.explain()
+    assert "_salt" in shown.getvalue() and shown.getvalue().count("Window ") >= 2
+
+
+def test_candidates_of_countries_in_the_given_order(spark):
+    rows = [("Vietnam", "a.vn", 9, 1), ("Chile", "b.cl", 5, 2), ("France", "c.fr", 7, 3), ("Vietnam", "d.vn", 8, 4)]
+    pool = spark.createDataFrame(rows, "country string, domain string, candidate_score int, arrival long").withColumn("discovery_source", F.array(F.lit("official")))
+    assert [r.domain for r in discovery.top_candidates(pool, 5, 3, ("Vietnam", "France")).collect()] == ["a.vn", "d.vn", "c.fr"]
+    assert discovery.top_candidates(pool, 5, None).count() == 4
+
+
+def test_top_level_domains(spark, tmp_path):
+    (tmp_path / "tlds.txt").write_text("# Version 1\nCOM\nVN\n\n", encoding="utf-8")
+    listed = EmailRules(tlds=readers.read_tlds(spark, str(tmp_path / "tlds.txt")))
+    assert listed.tlds == ("com", "vn")
+    mails = ["sales@acme.vn", "a@b.co.uk", "bootstrap@5.min.js", "jquery@3.6.0.min.js", "user@host.local", "x@acme.com"]
+    got = spark.createDataFrame([(m,) for m in mails], "m string").select("m", emails.normalize(F.col("m")).alias("shape"), emails.normalize(F.col("m"), listed).alias("list")).collect()
+    assert [r.m for r in got if r.shape] == ["sales@acme.vn", "a@b.co.uk", "x@acme.com"] and [r.m for r in got if r.list] == ["sales@acme.vn", "x@acme.com"]
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    assert grouping.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
