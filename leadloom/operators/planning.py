@@ -175,10 +175,10 @@ RECOVERY_ROLES = ("importer", "exclusive distributor", "wholesale distributor",
                   "aesthetic clinic", "beauty salon")
 
 
-def backfill_queries(countries: DataFrame, keywords, campaign: Campaign) -> DataFrame:
+def backfill_queries(countries: DataFrame, keywords: DataFrame, campaign: Campaign) -> DataFrame:
     """Queries that run only when a country stays short, distinct, in order, up to the cap of the mode.
 
-    ``countries``: country, tld, local_buyer.
+    ``countries``: country, tld, local_buyer; ``keywords``: position, keyword. Every country takes every keyword in turn.
     """
     hints = [p for p in campaign.products if p] or [campaign.industry]
     country, tld, local = F.col("country"), F.col("tld"), F.col("local_buyer")
@@ -191,46 +191,45 @@ def backfill_queries(countries: DataFrame, keywords, campaign: Campaign) -> Data
         texts.append(F.concat_ws(" ", country, F.lit(f"{hint} importer distributor wholesaler company")))
         texts.append(F.concat_ws(" ", country, F.lit(f"{hint} retail chain clinic salon supplier")))
     texts += [F.concat_ws(" ", country, F.lit(f"{hints[0]} {role} official website contact")) for role in RECOVERY_ROLES]
-    texts += [F.concat_ws(" ", country, F.lit(f"{keyword} official website contact")) for keyword in keywords]
-    cap = BACKFILL_CAP.get(campaign.search_mode, 18)
-    kept = F.slice(F.array_distinct(F.array_compact(F.array(*texts))), 1, cap)
-    return countries.select("country", F.posexplode(kept).alias("position", "query"))
+    first = countries.select("country", F.posexplode(F.array(*texts)).alias("_at", "query")).where(F.col("query").isNotNull())
+    last = countries.select("country").crossJoin(keywords).select(
+        "country", (F.col("position") + len(texts)).cast("int").alias("_at"), F.concat_ws(" ", "country", "keyword", F.lit("official website contact")).alias("query"))
+    once = first.union(last).groupBy("country", "query").agg(F.min("_at").alias("_at"))
+    kept = grouping.first_k(once, ["country"], ["_at", "query"], BACKFILL_CAP.get(campaign.search_mode, 18))
+    return kept.select("country", (F.col("place") - 1).alias("position"), "query")
 
 
-def refill_queries(countries: DataFrame, keywords, products, campaign: Campaign) -> DataFrame:
-    """Queries for goals missed after the first analysis, in order: local product phrases, every keyword
-    with its turn of the profiles, all profiles, then products with local buyer words.
+def refill_queries(countries: DataFrame, keywords: DataFrame, products: DataFrame, campaign: Campaign) -> DataFrame:
+    """Queries for goals missed after the first analysis, in the order of section, place and country: 0 local product
+    phrases, 1 every keyword with its turn of the profiles, 2 all profiles, 3 products with local buyer words.
 
-    ``products`` is ordered by least evidence first (`product_evidence_order`); ``countries``: country,
-    country_idx, local_buyer.
+    ``products``: position, product, least evidence first (`product_evidence_order`); ``keywords``: position, keyword;
+    ``countries``: country, country_idx, local_buyer. Every country takes every keyword and product.
     """
     profiles = SEARCH_PROFILES.get(campaign.search_mode, SEARCH_PROFILES["balanced"])
-    country, local = F.col("country"), F.col("local_buyer")
-    tail = F.lit(exclusions())
-    steps: list[Column] = []
-
-    def step(place: int, keyword: Column, query: Column) -> None:
-        steps.append(F.struct(F.lit(place).alias("step"), keyword.alias("keyword"), query.alias("query")))
-
-    for product in products:
-        phrases = catalog.VIETNAMESE_PRODUCTS.get(product.lower())
-        if phrases:
-            keyword = F.when(country == "Vietnam", F.lit(f"{phrases[0]} nhà phân phối"))
-            step(len(steps), keyword, F.concat(country, F.lit(" "), keyword, F.lit(" "), tail))
-    for i, keyword in enumerate(keywords):
-        step(len(steps), F.lit(keyword), search_query(country, F.lit(keyword), F.lit(profiles[i % len(profiles)]), local))
-    for profile in profiles:
-        for keyword in keywords:
-            step(len(steps), F.lit(keyword), search_query(country, F.lit(keyword), F.lit(profile), local))
+    country, local, tail = F.col("country"), F.col("local_buyer"), F.lit(exclusions())
+    spark = countries.sparkSession
+    turns = F.broadcast(spark.createDataFrame(list(enumerate(profiles)), "_turn int, _profile string"))  # three at most
+    phrases = F.broadcast(spark.createDataFrame([(name, words[0]) for name, words in catalog.VIETNAMESE_PRODUCTS.items()], "_name string, _phrase string"))
+    asked = countries.crossJoin(keywords.crossJoin(turns))
+    text = search_query(country, F.col("keyword"), F.col("_profile"), local)
+    own_turn = F.col("_turn") == F.pmod("position", F.lit(len(profiles)))
+    offered = countries.crossJoin(products)
     words = F.coalesce(F.nullif(F.array_join(F.slice(local, 1, 2), " "), F.lit("")), F.lit("importer distributor"))
-    for product in products:
-        keyword = F.concat(F.lit(f"{product} "), words)
-        step(len(steps), keyword, F.concat(country, F.lit(" "), keyword, F.lit(" "), tail))
-    rows = countries.select("country", "country_idx", F.explode(F.array(*steps)).alias("_s")).where(F.col("_s.query").isNotNull())
+
+    def rows(source: DataFrame, section: int, place: Column, keyword: Column, query: Column | None = None) -> DataFrame:
+        query = F.concat(country, F.lit(" "), keyword, F.lit(" "), tail) if query is None else query
+        return source.select("country", "country_idx", F.lit(section).alias("section"), place.cast("long").alias("place"), keyword.alias("keyword"), query.alias("query"))
+
+    local_names = offered.where(country == "Vietnam").join(phrases, F.lower("product") == F.col("_name"))
+    position = F.col("position")
+    every = (rows(local_names, 0, position, F.concat("_phrase", F.lit(" nhà phân phối")))
+             .union(rows(asked.where(own_turn), 1, position, F.col("keyword"), text))
+             .union(rows(asked, 2, F.shiftleft(F.col("_turn").cast("long"), 40) + position, F.col("keyword"), text))
+             .union(rows(offered, 3, position, F.concat_ws(" ", "product", words))))
     # One row per query text, at its first place.
-    first = rows.groupBy("country", F.col("_s.query").alias("query")).agg(
-        F.min(F.struct(F.col("_s.step").alias("step"), "country_idx", F.col("_s.keyword").alias("keyword"))).alias("_f"))
-    return first.select("country", "_f.country_idx", "_f.step", "_f.keyword", "query").orderBy("step", "country_idx")
+    first = every.groupBy("country", "query").agg(F.min(F.struct("section", "place", "country_idx", "keyword")).alias("_f"))
+    return first.select("country", "_f.country_idx", "_f.section", "_f.place", "_f.keyword", "query")
 
 
 def unused_queries(planned: DataFrame, executed: DataFrame) -> DataFrame:

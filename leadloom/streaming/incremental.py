@@ -16,10 +16,8 @@ from leadloom.operators.discovery import accepted, pool_candidates, prefilter_re
 
 
 def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """Rows that earlier batches wrote; empty before the first one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
+    """Rows that earlier batches wrote. An empty batch -1 is there from the start, so the first batch finds a table."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
     return spark.read.schema(f"{schema}, batch_id long").parquet(path).where(F.col("batch_id") < before).drop("batch_id")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -804,7 +805,17 @@ def keyword_plan(spark, sf):
     return flat(planned.where(F.col("phase") == "base"), "major", "keyword", "position")
 
 
-@query()
+_MORE_LIST = "CASE industry " + " ".join(f"WHEN {w.quote(i)} THEN [{', '.join(w.quote(x) for x in catalog.EXPANSION_ROLES.get(i, catalog.DEFAULT_EXPANSION_ROLES))}]" for i in ("food", "cosmetics")) + " END"
+
+
+@query(f"""WITH {_PLAN}, used AS (SELECT major, lower(keyword) AS keyword FROM firsts QUALIFY row_number() OVER (PARTITION BY major ORDER BY n) <= 10),
+  more AS (SELECT major, products, {_MORE_LIST} AS more FROM groups),
+  every AS (SELECT major, products, more, unnest(range(len(products) * len(more))) AS n FROM more),
+  said AS (SELECT major, n, products[n % len(products) + 1] || ' ' || more[(n % len(products) + n // len(products)) % len(more) + 1] AS keyword FROM every),
+  fresh AS (SELECT major, keyword, min(n) AS n FROM said WHERE NOT EXISTS (SELECT 1 FROM used WHERE used.major = said.major AND used.keyword = lower(said.keyword)) GROUP BY ALL),
+  base AS (SELECT major, count(*) AS size FROM plan GROUP BY 1)
+  SELECT major, keyword, size + row_number() OVER (PARTITION BY major ORDER BY n) - 1 AS position FROM fresh JOIN base USING (major)
+  QUALIFY row_number() OVER (PARTITION BY major ORDER BY n) <= 3""")
 def expansion_keywords(spark, sf):
     planned = pl.plan_keywords(_groups(spark, sf))
     return flat(planned.where(F.col("phase") == "expansion"), "major", "keyword", "position")
@@ -888,19 +899,69 @@ def creator_queries(spark, sf):
     return flat(pl.creator_queries(_creator_campaigns(spark, sf), 7), "country", "position", "query")
 
 
-@query()
+def _type_keywords(spark, sf) -> DataFrame:
+    """Part types as keywords, by their first part."""
+    types = w.table(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("a"))
+    return grouping.first_k(types.withColumn("_all", F.lit(0)), ["_all"], ["a", "p_type"], 10_000).select(
+        (F.col("place") - 1).cast("long").alias("position"), F.concat(F.lower("p_type"), F.lit(" importer")).alias("keyword"))
+
+
+def _brand_products(spark, sf) -> DataFrame:
+    """Products of the campaign in turn over the brands, by the number of parts of each brand."""
+    brands = w.table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    ranked = grouping.first_k(brands.withColumn("_all", F.lit(0)), ["_all"], ["n", "p_brand"], 10_000)
+    names = F.array(*[F.lit(p) for p in CAMPAIGN.products])
+    return ranked.select((F.col("place") - 1).cast("long").alias("position"), F.when(F.col("place") <= len(CAMPAIGN.products), F.get(names, F.col("place") - 1)).otherwise(
+        F.lower("p_brand")).alias("product"))
+
+
+_LOCAL_SQL = ", ".join(f"({w.quote(r['country'])}, {w.quote(r['tld'])}, [{', '.join(w.quote(x) for x in r['local_buyer'])}])" for r in catalog.country_rows())
+_COUNTRIES_SQL = f"""lf AS (SELECT * FROM (VALUES {_LOCAL_SQL}) AS f(country, tld, local)),
+  n AS (SELECT array_to_string(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS country, n_nationkey AS idx FROM nation),
+  c AS (SELECT n.country, n.idx, coalesce(tld, '') AS tld, coalesce(local, ['importer', 'distributor']) AS local FROM n LEFT JOIN lf USING (country)),
+  ty AS (SELECT p_type, min(p_partkey) AS a FROM part GROUP BY 1),
+  kw AS (SELECT row_number() OVER (ORDER BY a, p_type) - 1 AS position, lower(p_type) || ' importer' AS keyword FROM ty)"""
+
+
+@query(f"""WITH {_COUNTRIES_SQL},
+  h AS (SELECT * FROM (VALUES (0, 'facial serum'), (1, 'sheet masks'), (2, 'shampoo')) AS h(j, hint)),
+  r AS (SELECT * FROM (VALUES (0, 'importer'), (1, 'exclusive distributor'), (2, 'wholesale distributor'), (3, 'retail chain'), (4, 'beauty supplier'), (5, 'aesthetic clinic'), (6, 'beauty salon')) AS r(j, role)),
+  q AS (SELECT country, 2 * j AS pos, country || ' ' || hint || ' ' || array_to_string(local[1:3], ' ') AS query FROM c, h
+    UNION ALL SELECT country, 2 * j + 1, 'site:.' || tld || ' ' || hint || ' ' || array_to_string(local[1:2], ' ') FROM c, h WHERE tld <> ''
+    UNION ALL SELECT country, 6 + 2 * j, country || ' ' || hint || ' importer distributor wholesaler company' FROM c, h
+    UNION ALL SELECT country, 7 + 2 * j, country || ' ' || hint || ' retail chain clinic salon supplier' FROM c, h
+    UNION ALL SELECT country, 12 + j, country || ' facial serum ' || role || ' official website contact' FROM c, r
+    UNION ALL SELECT country, 19 + position, country || ' ' || keyword || ' official website contact' FROM c, kw),
+  u AS (SELECT country, query, min(pos) AS pos FROM q GROUP BY ALL),
+  k AS (SELECT country, row_number() OVER (PARTITION BY country ORDER BY pos, query) - 1 AS position, query FROM u)
+  SELECT country, position, query FROM k WHERE position < 25""")
 def backfill_queries(spark, sf):
     nations = w.table(spark, sf, "nation").select(F.initcap("n_name").alias("country"))
     facts = dimensions.with_country_facts(nations)
-    return flat(pl.backfill_queries(facts, ("serum importer", "mask distributor"), CAMPAIGN))
-
-
-@query()
+    return flat(pl.backfill_queries(facts, _type_keywords(spark, sf), replace(CAMPAIGN, search_mode="maximum")))
+
+
+_TAIL = pl.exclusions()
+
+
+@query(f"""WITH {_COUNTRIES_SQL},
+  br AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1),
+  br2 AS (SELECT row_number() OVER (ORDER BY n, p_brand) - 1 AS position, p_brand FROM br),
+  pr AS (SELECT position, coalesce((['facial serum', 'sheet masks', 'shampoo'])[position + 1], lower(p_brand)) AS product FROM br2),
+  vi AS (SELECT * FROM (VALUES {', '.join(f'({w.quote(k)}, {w.quote(x[0])})' for k, x in catalog.VIETNAMESE_PRODUCTS.items())}) AS v(name, phrase)),
+  pf AS (SELECT * FROM (VALUES (0, 'official'), (1, 'local_market')) AS p(turn, profile)),
+  ask AS (SELECT country, idx, local, position, keyword, turn, trim(country || ' ' || keyword || ' ' || CASE profile WHEN 'local_market' THEN
+      local[CASE WHEN regexp_matches(keyword, 'distribut|wholesale|retail|clinic|salon|spa') AND NOT contains(keyword, 'import') THEN least(2, len(local)) ELSE 1 END] ELSE 'company' END || ' ' || {w.quote(_TAIL)}) AS query FROM c, kw, pf),
+  q AS (SELECT country, idx, 0 AS section, position AS place, phrase || ' nhà phân phối' AS keyword, country || ' ' || phrase || ' nhà phân phối ' || {w.quote(_TAIL)} AS query FROM c, pr JOIN vi ON lower(product) = name WHERE country = 'Vietnam'
+    UNION ALL SELECT country, idx, 1, position, keyword, query FROM ask WHERE turn = position % 2
+    UNION ALL SELECT country, idx, 2, turn * 1099511627776 + position, keyword, query FROM ask
+    UNION ALL SELECT country, idx, 3, position, product || ' ' || array_to_string(local[1:2], ' '), country || ' ' || product || ' ' || array_to_string(local[1:2], ' ') || ' ' || {w.quote(_TAIL)} FROM c, pr)
+  SELECT country, CAST(idx AS BIGINT) AS country_idx, CAST(section AS BIGINT) AS section, CAST(place AS BIGINT) AS place, keyword, query FROM q
+  QUALIFY row_number() OVER (PARTITION BY country, query ORDER BY section, place, idx, keyword) = 1""")
 def refill_queries(spark, sf):
     nations = w.table(spark, sf, "nation").select(F.initcap("n_name").alias("country"), F.col("n_nationkey").alias("country_idx"))
     facts = dimensions.with_country_facts(nations)
-    order = [r["product"] for r in rp.product_evidence_order(_assessments(spark, sf), GROUPS).collect()]  # the selected products, ten at most
-    return flat(pl.refill_queries(facts, ("serum importer", "mask distributor"), order + list(CAMPAIGN.products), CAMPAIGN))
+    return flat(pl.refill_queries(facts, _type_keywords(spark, sf), _brand_products(spark, sf), CAMPAIGN))
 
 
 # ------------------------------------------------------------------ creators

@@ -344,14 +344,16 @@ def test_backfill_and_refill(spark):
     from leadloom.sources.dimensions import with_country_facts
     campaign = Campaign(products=("shampoo",), countries=("Vietnam", "Narnia"), search_mode="balanced")
     facts = with_country_facts(spark.createDataFrame([("Vietnam", 0), ("Narnia", 1)], "country string, country_idx int"))
-    rows = planning.backfill_queries(facts, ["k1"], campaign).orderBy("country", "position").collect()
+    keywords = spark.createDataFrame([(0, "k1")], "position long, keyword string")
+    rows = planning.backfill_queries(facts, keywords, campaign).orderBy("country", "position").collect()
     vietnam = [r.query for r in rows if r.country == "Vietnam"]
     assert vietnam[0] == "Vietnam shampoo nhà nhập khẩu nhà phân phối phân phối"
     assert vietnam[1] == "site:.vn shampoo nhà nhập khẩu nhà phân phối"
     assert vietnam[2] == "Vietnam shampoo importer distributor wholesaler company" and vietnam[-1] == "Vietnam k1 official website contact"
     assert len(vietnam) == 12 and len([r for r in rows if r.country == "Narnia"]) == 11
     tail = planning.exclusions()
-    plan = [(r.country, r.query) for r in planning.refill_queries(facts, ["k1"], ["shampoo"], campaign).collect()]
+    plan = [(r.country, r.query) for r in planning.refill_queries(
+        facts, keywords, spark.createDataFrame([(0, "shampoo")], "position long, product string"), campaign).orderBy("section", "place", "country_idx").collect()]
     assert plan[0] == ("Vietnam", f"Vietnam dầu gội nhà phân phối {tail}")
     assert plan[1] == ("Vietnam", f"Vietnam k1 company {tail}") and plan[2] == ("Narnia", f"Narnia k1 company {tail}")
     assert plan[-1] == ("Narnia", f"Narnia shampoo importer distributor {tail}") and len(plan) == len(set(plan))
