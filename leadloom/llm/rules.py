@@ -102,29 +102,32 @@ def rules() -> dict[str, Column]:
     return {name: F.when(some, v).otherwise(0) for name, v in votes.items()} | {"length": F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") < 15, -1).otherwise(0)}
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 40) -> tuple[float, dict[str, dict[int, float]]]:
-    """Log-odds of a good text, and each rule's log-odds by vote, from counts of vote patterns.
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
-    Poor texts mostly show one fault and look good to all other rules, so the start calls a pattern poor if any rule does. An
-    abstention says nothing. Vote probabilities stay within 0.001 and 0.999, and a rule's good vote never counts against a text,
-    so rare patterns cannot turn a rule round.
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, least: float = 0.75) -> tuple[float, dict[str, dict[int, float]]]:
+    """Log-odds of a good text, and what each vote of each rule adds to them, from counts of vote patterns.
+
+    Poor texts mostly show one fault and look good to all other rules, so the start calls a pattern poor if any rule does. A rule's
+    accuracy is the share of texts with its vote that are believed to be what it says. As in other weak supervision, rules are
+    taken to be better than chance: a vote against a text is right at ``least`` so often, and a vote for it never lowers the odds. Without
+    that, likelihood alone may split the texts by length or language instead. The class balance is the share of texts without a
+    vote against them, 0.6 at least, and stays. An abstention says nothing.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return 0.0, {name: {1: 0.0, -1: 0.0} for name in names}
     belief = [0.1 if -1 in p else 0.9 for p, _ in patterns]
+    prior = min(0.99, max(0.6, sum(n for p, n in patterns if -1 not in p) / total))
+    start, odds = _logit(prior), {}
     for _ in range(rounds):
-        good = sum(b * n for b, (_, n) in zip(belief, patterns))
-        prior = min(0.99, max(0.5, good / total))
-        odds: dict[str, dict[int, float]] = {}
         for k, name in enumerate(names):
-            rate: dict[tuple[int, int], float] = {}
+            right = {}
             for v in (1, -1):
-                said = [(b, n) for b, (p, n) in zip(belief, patterns) if p[k] == v]
-                rate[1, v] = min(0.999, max(0.001, sum(b * n for b, n in said) / (good + 1)))
-                rate[0, v] = min(0.999, max(0.001, sum((1 - b) * n for b, n in said) / (total - good + 1)))
-            odds[name] = {1: max(0.0, math.log(rate[1, 1] / rate[0, 1])), -1: min(0.0, math.log(rate[1, -1] / rate[0, -1]))}
-        start = math.log(prior / (1 - prior))
+                said = [(b if v > 0 else 1 - b, n) for b, (p, n) in zip(belief, patterns) if p[k] == v]
+                right[v] = (sum(b * n for b, n in said) + 1) / (sum(n for _, n in said) + 2)
+            odds[name] = {1: _logit(min(0.999, max(prior, right[1]))) - start, -1: -_logit(min(0.999, max(least, right[-1]))) - start}
         then = [1 / (1 + math.exp(-(start + sum(odds[name][v] for name, v in zip(names, p) if v)))) for p, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(belief, then))
         belief = then
