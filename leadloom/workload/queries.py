@@ -5,7 +5,7 @@ import os
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
 from leadloom.functions import catalog, grouping, numbers, text as t, urls
@@ -156,15 +156,14 @@ def company_names(spark, sf):
         "url", "host", "company_name", "brand_name")
 
 
-_FIRST_LINE = "trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))"
-
-
-@query(f"""WITH n AS (SELECT doc_id, {_FIRST_LINE} AS name FROM documents)
-  SELECT doc_id, CASE WHEN name = '' THEN 'name_missing'
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(len(ls))) AS line FROM l),
+  n AS (SELECT doc_id, line, trim(regexp_replace(ls[line + 1], '\\s+', ' ', 'g')) AS name FROM e)
+  SELECT doc_id, line, CASE WHEN name = '' THEN 'name_missing'
     WHEN length(name) > 150 OR len(list_filter(string_split(name, ' '), lambda x: x <> '')) > 25 THEN 'name_too_long' END AS reason FROM n""")
 def name_review(spark, sf):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return w.table(spark, sf, "documents").select("doc_id", nm.name_review_reason(first).alias("reason"))
+    """Every line of every text as a company name."""
+    lines = w.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "name"))
+    return flat(lines.select("doc_id", "line", nm.name_review_reason(F.col("name")).alias("reason")))
 
 
 @query()
@@ -181,6 +180,7 @@ def description_summaries(spark, sf):
   SELECT p.domain, url, place, CAST(source_priority AS BIGINT) AS source_priority, CAST(b AS BIGINT) AS page_budget
   FROM placed p JOIN budget USING (domain) WHERE place <= b""")
 def pages_to_visit(spark, sf):
+    """Links of all records with a site; suppliers stand for the companies that have a budget, customers only add links."""
     rows = w.records(spark, sf).where(F.col("website") != "").withColumn("k", F.split_part("record_id", F.lit("-"), F.lit(2)).cast("long"))
     links = rows.where(F.col("email_source_url").isNotNull()).select(
         F.col("website").alias("domain"), F.col("email_source_url").alias("url"), F.col("arrival").alias("position"))
@@ -276,7 +276,7 @@ def ecosystem_sources(spark, sf):
 
 
 @query(f"""WITH {w.COMPANY_TEXTS}, c AS (SELECT doc_id, lower(identity_text) AS about, target_country, website FROM texts),
-  readable AS (SELECT DISTINCT 'src' || page_id AS s FROM pages WHERE url LIKE 'https%')
+  readable AS (SELECT DISTINCT 'src' || page_id AS s FROM pages WHERE contains(html, '</html>'))
   SELECT doc_id FROM c WHERE regexp_extract(website, 'www\\.(src[0-9]+)', 1) NOT IN (SELECT s FROM readable)
     AND NOT ({{platform}} AND NOT {{strong}}) AND {{industry}} AND {{buyer}}
     AND (({{alias}}) OR regexp_matches(website, '\\.(vn|fr|es)/$'))""".format(
@@ -291,7 +291,7 @@ def access_holds(spark, sf):
         F.col("website").alias("url"), F.col("website").alias("root_url"), F.col("identity_text").alias("description"),
         F.lit("").alias("title"), F.col("doc_id").cast("string").alias("keyword"), F.lit("").alias("query"),
         F.array(F.lit("official")).alias("discovery_source"), F.col("website").alias("discovery_url"), F.lit(1).alias("candidate_score"))
-    readable = w.table(spark, sf, "pages").where(F.col("url").startswith("https")).select(
+    readable = w.table(spark, sf, "pages").where(F.col("html").contains("</html>")).select(  # pages that were read to their end
         F.explode(F.array(*[F.concat(F.lit("src"), F.col("page_id").cast("string"), F.lit(x)) for x in (".vn", ".fr", ".com", ".es")])).alias("domain"))
     return di.hold_failed_candidates(candidates, readable, CAMPAIGN).select(F.col("original_keyword").cast("long").alias("doc_id"))
 
@@ -575,16 +575,16 @@ _MEASURES = """count(*) AS records, count(*) FILTER (WHERE quality_decision = 'q
     count(*) FILTER (WHERE priority = 'strategic') AS strategic, count(*) FILTER (WHERE quality_decision = 'reference') AS reference,
     count(*) FILTER (WHERE quality_decision = 'other_country') AS other_country, count(*) FILTER (WHERE quality_decision = 'excluded') AS excluded,
     count(company_email) AS emails_found, count(company_email) FILTER (WHERE quality_decision = 'qualified') AS qualified_emails_found"""
-_COUNTRY_FACTS = f"""facts AS (SELECT target_country AS country, {_MEASURES} FROM records WHERE k % 2 = 0 GROUP BY 1),
+_COUNTRY_FACTS = f"""facts AS (SELECT target_country AS country, {_MEASURES} FROM records WHERE website <> '' GROUP BY 1),
   mail AS (SELECT target_country AS country, count(*) AS sendable FROM records WHERE email_status = 'official' AND priority = 'A' GROUP BY 1),
   held AS (SELECT target_country AS country, count(*) AS access_holds FROM records WHERE website = '' GROUP BY 1)"""
 _NUMBERS = ("records", "qualified", "tier_a", "tier_b", "tier_c", "strategic", "reference", "other_country", "excluded", "emails_found",
             "qualified_emails_found")
 
 
-def _even(df: DataFrame) -> DataFrame:
-    """Records of companies with an even number stand for the analysed companies."""
-    return df.where(F.split_part("record_id", F.lit("-"), F.lit(2)).cast("long") % 2 == 0)
+def _analysed(df: DataFrame) -> DataFrame:
+    """Companies with a site were analysed; those without one are access holds."""
+    return df.where(F.col("website") != "")
 
 
 def _mail(df: DataFrame) -> DataFrame:
@@ -597,7 +597,7 @@ def _mail(df: DataFrame) -> DataFrame:
 def country_summary(spark, sf):
     rows = w.records(spark, sf)
     countries = w.table(spark, sf, "nation").select(F.col("n_name").alias("country"))
-    return rp.country_summary(_even(rows), _mail(rows), rows.where(F.col("website") == ""), countries)
+    return rp.country_summary(_analysed(rows), _mail(rows), rows.where(F.col("website") == ""), countries)
 
 
 @query(f"""WITH {w.RECORDS}, facts AS (SELECT {_MEASURES}, count(*) FILTER (WHERE company_email IS NULL) AS missing_email,
@@ -753,7 +753,7 @@ _ASSESS_SQL = f"""g AS (SELECT * FROM (VALUES {_GROUPS_SQL}) AS g(subcategory, p
   s AS (SELECT subcategory, country, count(DISTINCT product) AS searched_products FROM kn GROUP BY ALL),
   c AS (SELECT subcategory, country, CAST(sum(calls) AS BIGINT) AS search_calls FROM (SELECT DISTINCT subcategory, country, keyword, calls FROM kn) GROUP BY ALL),
   m AS (SELECT subcategory, country, count(DISTINCT doc_id) AS companies_with_product FROM named GROUP BY ALL),
-  ap AS (SELECT doc_id, country FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, country FROM d WHERE doc_id % 4 = 0),
+  ap AS (SELECT doc_id, country FROM d UNION ALL SELECT doc_id, country FROM d),
   e AS (SELECT subcategory, n.country, count(DISTINCT n.doc_id) AS mailing_companies, count(*) AS addresses
     FROM (SELECT DISTINCT doc_id, country, subcategory FROM named WHERE doc_id % 3 < 2) n JOIN ap ON n.doc_id = ap.doc_id AND n.country = ap.country GROUP BY ALL),
   grid AS (SELECT subcategory, country, count(DISTINCT product) AS selected_products FROM g,
@@ -766,7 +766,7 @@ def subcategory_coverage(spark, sf):
     stats = w.hits(spark, sf).groupBy("country", F.col("title").alias("keyword")).agg(F.count("*").alias("calls"))
     docs = w.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("company_id"),
                                                   w.by_value(F.col("lang"), w.LANG_COUNTRIES).alias("target_country"), "doc_id")
-    approved = docs.where(F.col("doc_id") % 2 == 0).unionByName(docs.where(F.col("doc_id") % 4 == 0)).drop("doc_id")
+    approved = docs.unionByName(docs).drop("doc_id")  # two addresses each
     return flat(rp.subcategory_coverage(spark, GROUPS, _COVER_COUNTRIES, stats, _assessments(spark, sf), approved).drop("major"))
 
 
@@ -780,18 +780,21 @@ def product_evidence_order(spark, sf):
 
 
 def _groups(spark, sf) -> DataFrame:
-    """Brands as product groups: their first ten product names by part key."""
+    """Brands and types as product groups: all their product names by part key, ten to a group, which is the most a plan takes."""
     parts = w.table(spark, sf, "part").groupBy("p_brand", "p_type", "p_name").agg(F.min("p_partkey").alias("first"))
-    products = grouping.first_k_array(parts, ["p_brand", "p_type"], ["first", "p_name"], 10, "p_name", "products")
-    return products.select(F.concat_ws(" ", "p_brand", "p_type").alias("major"),
-                           F.when(F.col("p_type") == "SMALL", "food").otherwise("cosmetics").alias("industry"), "products")
+    at = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("first", "p_name")) - 1
+    placed = parts.select("p_brand", "p_type", F.floor(at / 10).alias("_part"), F.struct(at.alias("at"), "p_name").alias("_n"))
+    groups = placed.groupBy("p_brand", "p_type", "_part").agg(F.sort_array(F.collect_list("_n")).alias("_n"))
+    return groups.select(F.concat_ws(" ", "p_brand", "p_type", F.col("_part").cast("string")).alias("major"),
+                         F.when(F.col("p_type") == "SMALL", "food").otherwise("cosmetics").alias("industry"), F.transform("_n", lambda n: n["p_name"]).alias("products"))
 
 
 _ROLES = {"food": ("food importer", "food distributor", "food wholesaler", "supermarket chain", "grocery retailer"),
           "cosmetics": ("importer", "distributor", "beauty wholesaler", "cosmetics retail chain", "aesthetic clinic beauty salon")}
 _ROLE_LIST = "CASE industry WHEN 'food' THEN {} ELSE {} END".format(*["[" + ", ".join(w.quote(x) for x in _ROLES[i]) + "]" for i in ("food", "cosmetics")])
-_PLAN = f"""names AS (SELECT p_brand || ' ' || p_type AS major, p_type, p_name, min(p_partkey) AS a FROM part GROUP BY ALL),
-  groups AS (SELECT major, CASE WHEN p_type = 'SMALL' THEN 'food' ELSE 'cosmetics' END AS industry, list(p_name ORDER BY a, p_name)[1:10] AS products FROM names GROUP BY ALL),
+_PLAN = f"""named AS (SELECT p_brand || ' ' || p_type AS brand, p_type, p_name, min(p_partkey) AS a FROM part GROUP BY ALL),
+  names AS (SELECT *, brand || ' ' || ((row_number() OVER (PARTITION BY brand ORDER BY a, p_name) - 1) // 10) AS major FROM named),
+  groups AS (SELECT major, CASE WHEN p_type = 'SMALL' THEN 'food' ELSE 'cosmetics' END AS industry, list(p_name ORDER BY a, p_name) AS products FROM names GROUP BY ALL),
   steps AS (SELECT major, products, {_ROLE_LIST} AS roles, unnest(range(greatest(len(products), 5))) AS n FROM groups),
   pairs AS (SELECT major, len(products) AS size, n, products[n % len(products) + 1] || ' ' || roles[n % 5 + 1] AS keyword FROM steps),
   firsts AS (SELECT major, size, keyword, min(n) AS n FROM pairs GROUP BY ALL),
@@ -879,6 +882,7 @@ def goal_shares(spark, sf):
 
 
 def _creator_campaigns(spark, sf) -> DataFrame:
+    """A campaign has seven queries, two a keyword, so it takes the first four keywords: that limit is the feature."""
     nations = w.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("_k"), F.initcap("n_name").alias("country"))
     names = (w.table(spark, sf, "part").withColumn("_k", F.col("p_partkey") % 25).groupBy("_k", "p_name").agg(F.min("p_partkey").alias("a")))
     lists = grouping.first_k_array(names, ["_k"], ["a", "p_name"], 4, "p_name", "keywords")
