@@ -41,11 +41,22 @@ def stage(df: DataFrame, name: str, stage_dir: str | None) -> DataFrame:
     return df.sparkSession.read.parquet(f"{stage_dir}/{name}")
 
 
-def discover(results: DataFrame, campaign: Campaign, rules: ResultRules) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(filtered results, pool, chosen candidates)."""
-    companies, _sources = discovery.split_ecosystem_sources(results, rules)
+def directory_links(sources: DataFrame, pages: DataFrame, email_rules: EmailRules = EmailRules()) -> DataFrame:
+    """Companies that the pages of exhibition and association results link to, with the result that led there."""
+    asked = sources.withColumn("_k", urls.page_key("url"))
+    keyed = pages.withColumn("_k", urls.page_key("url"))
+    read = pg.extract_pages(keyed.join(asked.select("_k").distinct(), "_k", "left_semi").drop("_k"), email_rules)
+    found = pg.external_company_links(read).select(urls.page_key("source_url").alias("_k"), "root_url", "source_url")
+    return asked.select("_k", "country", "keyword", "query", "content", "arrival").join(found, "_k").drop("_k")
+
+
+def discover(results: DataFrame, campaign: Campaign, rules: ResultRules, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(filtered results, pool, chosen candidates). With ``pages``, companies linked from directory results join the pool."""
+    companies, sources = discovery.split_ecosystem_sources(results, rules)
     filtered = discovery.prefilter_results(companies, rules)
     pool = discovery.pool_candidates(discovery.accepted(filtered))
+    if pages is not None:
+        pool = discovery.add_directory_links(pool, directory_links(sources, pages))
     overall = None if campaign.candidate_ceiling is None else campaign.discovery_limit
     return filtered, pool, discovery.top_candidates(pool, campaign.per_country_limit, overall, campaign.countries)
 
@@ -162,13 +173,17 @@ def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_r
 
 def run(results: DataFrame, pages: DataFrame, campaign: Campaign, rules: ResultRules | None = None,
         email_rules: EmailRules = EmailRules(), grade_rules: GradeRules = GradeRules(),
-        stage_dir: str | None = None) -> BuyerTables:
-    """All tables of a campaign."""
+        stage_dir: str | None = None, external: DataFrame | None = None) -> BuyerTables:
+    """All tables of a campaign. ``external`` fills qualified companies without an address from outside contacts
+    (`companies.enrich_contacts`)."""
     rules = rules or ResultRules(industry_terms=campaign.industry_terms())
-    filtered, pool, chosen = discover(results, campaign, rules)
+    filtered, pool, chosen = discover(results, campaign, rules, pages)
     candidates = stage(chosen, "candidates", stage_dir)
     extracted = read_sites(candidates, pages, campaign, email_rules, stage_dir)
-    records = stage(analyse(candidates, pages, campaign, email_rules, grade_rules, stage_dir, extracted), "records", stage_dir)
+    records = analyse(candidates, pages, campaign, email_rules, grade_rules, stage_dir, extracted)
+    if external is not None and campaign.include_external:
+        records = co.enrich_contacts(records, external, email_rules)
+    records = stage(records, "records", stage_dir)
     owned = stage(co.assign_owners(records, email_rules), "owned", stage_dir)
     merged = co.merge_owned(owned, records.columns, email_rules)
     addresses = co.company_addresses(owned, email_rules)

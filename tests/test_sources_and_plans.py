@@ -156,3 +156,20 @@ def test_top_level_domains(spark, tmp_path):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert grouping.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_campaign_takes_directory_links_and_outside_contacts(spark, tmp_path):
+    found = results(spark).union(spark.createDataFrame([(6, "Vietnam", "ecosystem", "k", "q3", 2, "Beauty expo exhibitor list", "https://expo.org/exhibitors",
+                                                         "exhibitors cosmetics vietnam", None)], RESULT))
+    pages = spark.createDataFrame([
+        ("https://expo.org/exhibitors", page("Exhibitors", '<a href="https://www.newco.vn/x">NewCo</a> <a href="/own">own</a> <a href="https://facebook.com/z">f</a>')),
+        ("https://newco.vn/", page("NewCo Beauty", "We are an importer and exclusive distributor of cosmetics and skincare based in Vietnam. Address: 2 Hanoi, Vietnam."))],
+        "url string, html string")
+    outside = spark.createDataFrame([("newco.vn", "buyer@newco.vn", "generic", 90, "A", "B", "Buyer", "https://src.example.org/1", "valid", 95, False)],
+                                    "domain string, value string, type string, confidence int, first_name string, last_name string, position string, source_uri string, "
+                                    "verify_status string, verify_score int, accept_all boolean")
+    campaign = Campaign(products=("facial serum",), group="화장품·스킨케어", subcategories=("스킨케어",))
+    tables = buyer.run(found, pages, campaign, stage_dir=str(tmp_path), external=outside)
+    pool = {r.domain: r for r in tables.pool.collect()}
+    assert pool["newco.vn"].discovery_url == "https://expo.org/exhibitors" and pool["newco.vn"].discovery_source == ["ecosystem"] and "facebook.com" not in pool
+    assert [(r.company_email, r.email_status) for r in tables.contacts.collect()] == [("buyer@newco.vn", "verified")]
