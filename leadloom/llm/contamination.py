@@ -106,17 +106,16 @@ def candidates(bodies: DataFrame, items: DataFrame, radius: int = 19) -> DataFra
     return met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("item_bits"))) <= radius).select("body", "n_words", "item_id").distinct()
 
 
-def verified(pairs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """``body``, ``n_words``, ``item_id`` and ``similarity`` of the pairs whose weighted Jaccard similarity is ``least`` or more."""
-    def weighed(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.select(*keys, F.explode(shingles("words")).alias("s")).groupBy(*keys, "s").agg(F.count("*").alias("n"))
+def compared(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """``body``, ``n_words``, ``item_id`` and ``similarity``, the weighted Jaccard similarity of the shingle multisets, of all pairs.
 
-    bodies = pairs.select("body").distinct().withColumn("words", F.split("body", " "))
-    own = weighed(bodies, ["body"])
-    theirs = weighed(items, ["item_id"]).withColumnRenamed("n", "m")
-    shared = pairs.join(own, "body").join(theirs, ["item_id", "s"]).groupBy("body", "n_words", "item_id").agg(F.sum(F.least("n", "m")).alias("both"))
-    each = F.greatest(F.col("n_words") - (SIZE - 1), F.lit(1))  # shingles of either side, as windows are item-sized
-    return shared.withColumn("similarity", F.col("both") / (2 * each - F.col("both"))).where(F.col("similarity") >= least).drop("both")
+    A pair is one row of two passages of an item's size, so nothing is joined by shingle.
+    """
+    rows = pairs.join(items.select("item_id", F.col("words").alias("item_words")), "item_id").withColumn("words", F.split("body", " "))
+    rows = rows.select("body", "n_words", "item_id", shingles("words").alias("own"), shingles("item_words").alias("theirs"))
+    times = lambda side, s: F.size(F.filter(side, lambda x: x == s))
+    both = F.aggregate(F.array_intersect("own", "theirs"), F.lit(0), lambda total, s: total + F.least(times("own", s), times("theirs", s)))
+    return rows.select("body", "n_words", "item_id", (both / (F.size("own") + F.size("theirs") - both)).alias("similarity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
         empty = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("false")
         return empty.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("n_words"))
     found = common.stage(found)
-    sure = verified(candidates(found.select("body", "n_words").distinct(), items, radius), items, least)
-    # The best window leaves each task: highest similarity, then the smallest place.
-    best = found.join(sure, ["body", "n_words"]).groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"), "n_words")).alias("b"))
-    return best.select(F.col("id").alias("doc_id"), "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("first_word"), F.col("b.n_words").cast("long").alias("n_words"))
+    near = compared(candidates(found.select("body", "n_words").distinct(), items, radius), items)
+    # The best window leaves each task: highest similarity, then the smallest place. Only then is the similarity asked for.
+    best = found.join(near, ["body", "n_words"]).groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"), "n_words")).alias("b"))
+    return best.where(F.col("b.similarity") >= least).select(F.col("id").alias("doc_id"), "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("first_word"), F.col("b.n_words").cast("long").alias("n_words"))
