@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,9 +17,14 @@ from leadloom.operators.discovery import accepted, pool_candidates, prefilter_re
 
 
 def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """Rows that earlier batches wrote. An empty batch -1 is there from the start, so the first batch finds a table."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
-    return spark.read.schema(f"{schema}, batch_id long").parquet(path).where(F.col("batch_id") < before).drop("batch_id")
+    """Rows that earlier batches wrote; empty before the first one."""
+    try:
+        stored = spark.read.schema(f"{schema}, batch_id long").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return stored.where(F.col("batch_id") < before).drop("batch_id")
 
 
 def _store(df: DataFrame, path: str, batch_id: int) -> None:
