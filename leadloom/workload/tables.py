@@ -10,8 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from leadloom.config import ResultRules
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. A session whose text files have one row group each, and so one task each, may ask in
+    ``leadloom.text.partitions`` to have their rows dealt out; unset, nothing is shuffled."""
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get("leadloom.text.partitions", None) if name in TEXT_TABLES else None
+    return scan.repartition(int(parts)) if parts else scan
 
 
 def quote(text: str) -> str:
