@@ -4,7 +4,9 @@ A text's lines are hashed; a rolling polynomial over two neighbouring line hashe
 local minimum, so a boundary depends on nearby lines only: lines put in or taken out elsewhere do not shift it, and a chunk
 has two lines or more but at the ends of a text. Chunks with at least two lines that are not blank are counted over the
 whole corpus by hash and bytes. Of a repeated chunk the document with the smallest id keeps its first one; each other
-occurrence is compared byte by byte with the counted text and removed. Single lines are never removed.
+occurrence is compared byte by byte with the counted text and removed. ``dedup`` stops there. ``dedup_passages`` also counts every two
+neighbouring lines that are not blank, so passages are removed to their first and last line,
+short ones and runs of one line too.
 
 Only DataFrame expressions are used. Equal chunks are combined before they are shuffled, so a chunk in a third of all documents
 is one row per task. Null texts count as empty and stay null where nothing is removed. Rows that share an id are one document
@@ -20,6 +22,9 @@ from leadloom.llm import common
 
 _PRIME, _BASE, _LOW = 1_048_573, 65_599, 0xFFFFF
 _LAST = (1 << 63) - 1
+_FULL = r"[^\x20\x09-\x0D]"
+#: Repeated passages have more words than this, also those of one line.
+MIN_WORDS = 50
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,3 +94,77 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rest = F.array_join(F.flatten(F.transform("kept", lambda c: F.slice("lines", c["start"] + 1, c["n"]))), "\n")
     text = F.when(F.col("gone") > 0, rest).otherwise(F.col("row")[text_col].cast("string"))
     return _marked(docs, id_col, text_col).select(F.col("row").withField(text_col, text).alias("row"), F.size("lines").cast("long").alias("n_lines"), F.col("gone").alias("n_removed"))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``lines`` and ``units``: the chunks that can be removed, every two neighbouring lines that are not blank.
+
+    ``head`` is where the row's first unit of the same hash starts, ``head_n`` its number of lines.
+    """
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.rlike(F.get(F.col("lines"), i), F.lit(_FULL)))
+    rows = _chunked(rows).withColumn("at", at)
+    line = lambda i: F.get(F.col("lines"), i)
+    unit = lambda start, n, whole, digest: F.struct(start.alias("start"), n.cast("int").alias("n"), F.lit(whole).alias("whole"), digest.alias("hash"))
+    chunks = F.transform(F.filter("chunks", lambda c: c["many"]), lambda c: unit(c["start"], c["n"], True, c["hash"]))
+    twos = F.transform(F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda a, k: unit(
+        a, F.get(F.col("at"), k + 1) - a + 1, False, F.xxhash64(F.lit(2), line(a), line(F.get(F.col("at"), k + 1)))))
+    rows = rows.select("id", "key", "lines", F.concat(chunks, twos).alias("units")).withColumn("hashes", F.col("units.hash"))
+
+    def headed(u: Column) -> Column:
+        first = F.get(F.col("units"), F.array_position(F.col("hashes"), u["hash"]).cast("int") - 1)
+        return F.struct(u["start"].alias("start"), u["n"].alias("n"), u["whole"].alias("whole"), u["hash"].alias("hash"), first["start"].alias("head"), first["n"].alias("head_n"))
+
+    return rows.select("id", "key", "lines", F.transform("units", headed).alias("units"))
+
+
+def _n_words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, common.WORD_GAP), lambda w: w != ""))
+
+
+def _unit_body(whole: Column, start: Column, n: Column) -> Column:
+    """A chunk's lines with the blank ones; the one or two lines of another unit."""
+    line = lambda i: F.get(F.col("lines"), i)
+    return F.when(whole, _body(start, n)).when(n == 1, line(start)).otherwise(F.concat(line(start), F.lit("\n"), line(start + n - 1)))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``dedup``, and also without repeated passages of more than ``MIN_WORDS`` words wherever their chunks end.
+
+    A passage is a run of lines covered by units (two neighbouring lines) that stand earlier in the corpus: in a document with a
+    smaller id, or before in the same one. Every line removed has an equal one at an earlier place, so one of each stays.
+    Only units whose hash repeats are gathered with their bytes.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    rows = keyed.select("id", "key", "text")
+    # Outer: for the other kind Spark puts a filter below and repeats all expressions in it. A null hash joins nothing.
+    units = _united(rows).select("id", "key", F.explode_outer("units").alias("u")).select("id", "key", "u.*")
+    counted = units.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    places = common.stage(units.join(counted, "hash", "left_semi").distinct())
+    listed = places.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("start", "n", "whole", "hash")).alias("listed"))
+    told = rows.join(listed, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key"))).withColumn("lines", F.split("text", "\n", -1))
+    told = told.select("id", F.explode_outer(F.transform("listed", lambda u: F.struct(u["hash"].alias("hash"), _unit_body(u["whole"], u["start"], u["n"]).alias("body")))).alias("u"))
+    firsts = told.groupBy("u.hash", "u.body").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+
+    found = places.join(firsts, "hash").where((F.col("first") != F.col("id")) | (F.col("head") != F.col("start")))
+    found = found.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("start", "n", "whole", "head", "head_n", "body", "first")).alias("found"))
+    out = keyed.drop("text").join(found, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    out = out.withColumn("lines", F.split(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), "\n", -1))
+
+    def again(f: Column) -> Column:  # byte comparison with the counted body, and in the row with the first one
+        earlier = (f["head"] != f["start"]) & (_unit_body(f["whole"], f["head"], f["head_n"]) == f["body"])
+        return (_unit_body(f["whole"], f["start"], f["n"]) == f["body"]) & ((f["first"] != F.col("id")) | earlier)
+
+    covers = lambda units: F.flatten(F.transform(units, lambda f: F.sequence(f["start"], f["start"] + f["n"] - 1)))
+    out = out.withColumn("found", F.filter("found", again))
+    out = out.withColumn("covered", F.array_sort(F.array_distinct(covers(F.col("found"))))).withColumn("runs", F.transform("covered", lambda i, k: i - k))
+    size = lambda r: F.aggregate(F.filter("covered", lambda i, k: i - k == r), F.lit(0), lambda n, i: n + _n_words(F.get(F.col("lines"), i)))
+    out = out.withColumn("runs", F.filter(F.array_distinct("runs"), lambda r: size(r) > MIN_WORDS))
+    passages = F.filter("covered", lambda i, k: F.array_contains("runs", i - k))
+    gone = F.array_distinct(F.concat(covers(F.filter("found", lambda f: f["whole"])), passages))
+    out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    # Blank lines that alone are left go too.
+    left = F.exists(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.rlike(F.get(F.col("lines"), i), F.lit(_FULL)) & ~F.array_contains("gone", i)) | (F.size("gone") == 0)
+    out = out.withColumn("gone", F.when(left, F.col("gone")).otherwise(F.sequence(F.lit(0), F.size("lines") - 1)))
+    rest = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.size("gone") > 0, rest).otherwise(F.col("row")[text_col].cast("string"))
+    return out.select(F.col("row").withField(text_col, text).alias("row"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))

@@ -77,5 +77,5 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.dedup(common.table(spark, sf_dir, "documents"))
+    rows = lines.dedup_passages(common.table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "row.text", "n_lines", "n_removed")

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from leadloom.llm import common, copies
+from leadloom.llm import copies, lines
 from tests.llm import cases
 
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "ro") for b in ("ta", "su", "vi", "do") for c in ("n", "r", "s", "l", "m")]
@@ -54,3 +56,41 @@ def test_one_of_each_equals_brute_force_over_all_pairs(spark):
     assert sorted(i for i in kept if i is not None) == sorted([i for i, root in want.items() if i == root] + ([100] if want[100] == 100 else [])) and kept.count(None) == 1
     linked = [(i, j) for i in rows for j in rows if i < j and rows[i] != rows[j] and alike(rows[i], rows[j])]
     assert len(linked) > 100 and copies.groups(cases.empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------------ lines
+
+def made(rng, n, k=30):
+    return [" ".join(rng.choices(WORDS, k=k)) for _ in range(n)]
+
+
+def deduplicated(spark, rows):
+    docs = cases.documents(spark, [(i, t, "en") for i, t in rows.items()])
+    return {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_passages(docs).select("row.*", "n_removed").collect()}
+
+
+def test_passages_go_to_their_first_and_last_line(spark):
+    rng, rows, hosts = random.Random(22), {}, {}
+    for n in (2, 3, 4, 6, 10):
+        for k in range(8):
+            passage = made(rng, n)
+            for copy in range(3):
+                before, after = made(rng, 3, 8), made(rng, 3, 8)
+                i = 1000 * n + 10 * k + copy
+                blank = [""] if k % 2 else []
+                rows[i] = "\n".join(before + [x for line in passage for x in [line, *blank]] + after)
+                hosts[i] = (rows[i], 0) if copy == 0 else ("\n".join(before + blank + after), n + (n - 1) * len(blank))
+    got = deduplicated(spark, rows)
+    assert got == hosts
+
+
+def test_every_line_stays_somewhere(spark):
+    rng = random.Random(24)
+    pool = made(rng, 12, 20)
+    rows = {k: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for k in range(40)}
+    got = deduplicated(spark, rows)
+    assert {line for t, _ in got.values() for line in t.split("\n") if line} == {line for t in rows.values() for line in t.split("\n")}
+    assert sum(n for _, n in got.values()) > 200 and lines.dedup_passages(cases.empty(spark)).count() == 0
+    body = "\n".join(f"line {k} of it" for k in range(9))
+    got = lines.dedup_passages(cases.awkward(spark, [body, body]).withColumn("hash", F.lit("h"))).select("row.*", "n_removed").collect()
+    assert [r.text for r in got if r.doc_id == 10] == [body, body] and [(r.text, r.n_removed) for r in got if r.doc_id in (11, None)] == [("", 9), ("", 9)]
