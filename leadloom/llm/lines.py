@@ -5,7 +5,7 @@ local minimum, so a boundary depends on nearby lines only: lines put in or taken
 has two lines or more but at the ends of a text. Chunks with at least two lines that are not blank are counted over the
 whole corpus by hash and bytes. Of a repeated chunk the document with the smallest id keeps its first one; each other
 occurrence is compared byte by byte with the counted text and removed. ``dedup`` stops there. ``dedup_passages`` also counts every two
-neighbouring lines that are not blank, so passages are removed to their first and last line,
+neighbouring lines that are not blank and every line of more than 50 words, so passages are removed to their first and last line,
 short ones and runs of one line too.
 
 Only DataFrame expressions are used. Equal chunks are combined before they are shuffled, so a chunk in a third of all documents
@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _united(rows: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``lines`` and ``units``: the chunks that can be removed, every two neighbouring lines that are not blank.
+    """``id``, ``key``, ``lines`` and ``units``: the chunks that can be removed, every two neighbouring lines that are not blank, every long line.
 
     ``head`` is where the row's first unit of the same hash starts, ``head_n`` its number of lines.
     """
@@ -108,7 +108,10 @@ def _united(rows: DataFrame) -> DataFrame:
     chunks = F.transform(F.filter("chunks", lambda c: c["many"]), lambda c: unit(c["start"], c["n"], True, c["hash"]))
     twos = F.transform(F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda a, k: unit(
         a, F.get(F.col("at"), k + 1) - a + 1, False, F.xxhash64(F.lit(2), line(a), line(F.get(F.col("at"), k + 1)))))
-    rows = rows.select("id", "key", "lines", F.concat(chunks, twos).alias("units")).withColumn("hashes", F.col("units.hash"))
+    # 51 words take 101 characters.
+    long = F.filter("at", lambda a: F.when(F.length(line(a)) > 2 * MIN_WORDS, _n_words(line(a)) > MIN_WORDS).otherwise(False))
+    ones = F.transform(long, lambda a: unit(a, F.lit(1), False, F.xxhash64(F.lit(1), line(a))))
+    rows = rows.select("id", "key", "lines", F.concat(chunks, twos, ones).alias("units")).withColumn("hashes", F.col("units.hash"))
 
     def headed(u: Column) -> Column:
         first = F.get(F.col("units"), F.array_position(F.col("hashes"), u["hash"]).cast("int") - 1)
@@ -130,7 +133,7 @@ def _unit_body(whole: Column, start: Column, n: Column) -> Column:
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``dedup``, and also without repeated passages of more than ``MIN_WORDS`` words wherever their chunks end.
 
-    A passage is a run of lines covered by units (two neighbouring lines) that stand earlier in the corpus: in a document with a
+    A passage is a run of lines covered by units (two neighbouring lines, or one long line) that stand earlier in the corpus: in a document with a
     smaller id, or before in the same one. Every line removed has an equal one at an earlier place, so one of each stays.
     Only units whose hash repeats are gathered with their bytes.
     """

@@ -84,6 +84,15 @@ def test_passages_go_to_their_first_and_last_line(spark):
     assert got == hosts
 
 
+def test_one_long_line_is_a_passage(spark):
+    rng = random.Random(23)
+    long, short = made(rng, 1, 51)[0], made(rng, 1, 50)[0]
+    rows = {1: f"a b\n{long}\nc d", 2: f"e f\n{long}\ng h", 3: f"i j\n{short}\nk l", 4: f"m n\n{short}\no p", 7: long, 8: f"{long}\n\n"}
+    got = deduplicated(spark, rows)
+    assert got[1] == (rows[1], 0) and got[2] == ("e f\ng h", 1) and got[7] == ("", 1) and got[8] == ("", 3)
+    assert [got[k] for k in (3, 4)] == [(rows[k], 0) for k in (3, 4)]  # 50 words are not over 50
+
+
 def test_every_line_stays_somewhere(spark):
     rng = random.Random(24)
     pool = made(rng, 12, 20)
