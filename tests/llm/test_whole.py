@@ -103,3 +103,10 @@ def test_every_line_stays_somewhere(spark):
     body = "\n".join(f"line {k} of it" for k in range(9))
     got = lines.dedup_passages(cases.awkward(spark, [body, body]).withColumn("hash", F.lit("h"))).select("row.*", "n_removed").collect()
     assert [r.text for r in got if r.doc_id == 10] == [body, body] and [(r.text, r.n_removed) for r in got if r.doc_id in (11, None)] == [("", 9), ("", 9)]
+
+
+def test_runs_of_one_line_leave_one(spark):
+    hot = "one line that comes again"
+    rows = {5: "\n".join(["first"] + [hot] * 40 + ["last"]), 6: "\n".join(["other"] + [hot] * 25 + ["end"])}
+    got = deduplicated(spark, rows)
+    assert got[5] == (f"first\n{hot}\nlast", 39) and got[6] == ("other\nend", 25)
