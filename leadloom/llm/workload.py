@@ -8,7 +8,9 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import bpe, brown, common, contamination, extract, language, lines, oracles, quality, rules, secrets, simhash
+from leadloom.llm import (
+    bpe, brown, common, contamination, conversations, extract, language, lines, oracles, quality, resampling, rules, secrets, simhash, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +81,19 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dedup_passages(common.table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "row.text", "n_lines", "n_removed")
+
+
+@query()
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(conversations.turns(common.table(spark, sf_dir, "conversations"))))
+
+
+@query()
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
