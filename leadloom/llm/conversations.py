@@ -69,12 +69,12 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``role``, ``digest``, ``present`` and ``fault`` (blank, duplicate, truncated or null) of every row, in partitions by conversation."""
+    """``conv_id``, ``turn``, ``role``, ``digest``, ``present``, ``fault`` (blank, duplicate, truncated or null) and ``again`` of every row, in partitions by conversation."""
     narrow = _placed(rows).select("conv_id", "turn", "role", "digest", "present", F.rlike("text", F.lit(_FULL)).alias("full"), F.rlike("text", F.lit(_ENDED)).alias("ended")).repartition("conv_id")
     # The window finds its rows where they are: partitions by conversation are partitions by anything finer.
     again = F.row_number().over(Window.partitionBy("conv_id", "present", "role", "digest").orderBy(F.asc_nulls_first("turn"))) > 1
-    fault = F.when(~F.col("full"), "blank").when(again, "duplicate").when(~F.col("ended"), "truncated")
-    return narrow.select("conv_id", "turn", "role", "digest", "present", fault.alias("fault"))
+    fault = F.when(~F.col("full"), "blank").when(F.col("again"), "duplicate").when(~F.col("ended"), "truncated")
+    return narrow.withColumn("again", again).select("conv_id", "turn", "role", "digest", "present", fault.alias("fault"), "again")
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -99,7 +99,8 @@ def signatures(rows: DataFrame) -> DataFrame:
                 yield last, *held.row()
         return common.batches_of(each(), SIGNED, 1024)
 
-    ordered = faults(rows).sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "digest")
+    # Of equal rows of one turn, the one that is no duplicate comes first.
+    ordered = faults(rows).sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "digest", "again")
     return ordered.select("conv_id", "turn", "role", "present", "fault").mapInArrow(run, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, signature string")
 
 

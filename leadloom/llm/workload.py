@@ -83,12 +83,12 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "row.text", "n_lines", "n_removed")
 
 
-@query()
+@query(oracles.CONVERSATIONS)
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damaged(conversations.turns(common.table(spark, sf_dir, "conversations"))))
 
 
-@query()
+@query(oracles.RESAMPLING)
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
