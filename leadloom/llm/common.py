@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word, fixed by the contracts: a run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

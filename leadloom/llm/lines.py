@@ -4,9 +4,10 @@ A text's lines are hashed; a rolling polynomial over two neighbouring line hashe
 local minimum, so a boundary depends on nearby lines only: lines put in or taken out elsewhere do not shift it, and a chunk
 has two lines or more but at the ends of a text. Chunks with at least two lines that are not blank are counted over the
 whole corpus by hash and bytes. Of a repeated chunk the document with the smallest id keeps its first one; each other
-occurrence is compared byte by byte with the counted text and removed. ``dedup`` stops there. ``dedup_passages`` also counts every two
-neighbouring lines that are not blank and every line of more than 50 words, so passages are removed to their first and last line,
-short ones and runs of one line too.
+occurrence is compared byte by byte with the counted text and removed. ``dedup`` stops there. In ``dedup_passages`` the rolling hash over two
+neighbouring lines that are not blank is counted itself, and a boundary also stands wherever it occurs once only in the corpus. So a passage
+is a chunk to its first and last line whatever stands around it: runs of repeated pairs, and single lines, go if they have more than 50 words. Lines
+become narrow rows of two hashes and a place; texts are shuffled once, for the comparison of bytes and for the result.
 
 Only DataFrame expressions are used. Equal chunks are combined before they are shuffled, so a chunk in a third of all documents
 is one row per task. Null texts count as empty and stay null where nothing is removed. Rows that share an id are one document
@@ -15,7 +16,7 @@ are carried along whatever their names; an empty table stays empty.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm import common
@@ -96,78 +97,114 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _marked(docs, id_col, text_col).select(F.col("row").withField(text_col, text).alias("row"), F.size("lines").cast("long").alias("n_lines"), F.col("gone").alias("n_removed"))
 
 
-def _united(rows: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``lines`` and ``units``: the chunks that can be removed, every two neighbouring lines that are not blank, every long line.
-
-    ``head`` is where the row's first unit of the same hash starts, ``head_n`` its number of lines.
-    """
-    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.rlike(F.get(F.col("lines"), i), F.lit(_FULL)))
-    rows = _chunked(rows).withColumn("at", at)
-    line = lambda i: F.get(F.col("lines"), i)
-    unit = lambda start, n, whole, digest: F.struct(start.alias("start"), n.cast("int").alias("n"), F.lit(whole).alias("whole"), digest.alias("hash"))
-    chunks = F.transform(F.filter("chunks", lambda c: c["many"]), lambda c: unit(c["start"], c["n"], True, c["hash"]))
-    twos = F.transform(F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda a, k: unit(
-        a, F.get(F.col("at"), k + 1) - a + 1, False, F.xxhash64(F.lit(2), line(a), line(F.get(F.col("at"), k + 1)))))
+def _line_rows(keyed: DataFrame) -> DataFrame:
+    """One row per line of every distinct (``id``, ``key``), in partitions by them: ``pos``, two hashes, whether it is ``full`` (not blank) and ``long``."""
+    rows = keyed.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # 51 words take 101 characters.
-    long = F.filter("at", lambda a: F.when(F.length(line(a)) > 2 * MIN_WORDS, _n_words(line(a)) > MIN_WORDS).otherwise(False))
-    ones = F.transform(long, lambda a: unit(a, F.lit(1), False, F.xxhash64(F.lit(1), line(a))))
-    rows = rows.select("id", "key", "lines", F.concat(chunks, twos, ones).alias("units")).withColumn("hashes", F.col("units.hash"))
+    long = F.when(F.length("line") > 2 * MIN_WORDS, _n_words(F.col("line")) > MIN_WORDS).otherwise(False)
+    rows = rows.select("id", "key", "pos", *_names(F.col("line")), F.rlike("line", F.lit(_FULL)).alias("full"), long.alias("long")).repartition("id", "key")
+    # Rows that agree in id and text are one.
+    once = F.row_number().over(Window.partitionBy("id", "key", "pos").orderBy("h")) == 1
+    return rows.withColumn("once", once).where("once").drop("once")
+
+
+def _names(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("c")
+
+
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(common.WORD))
+
+
+_ROW = ["id", "key"]
+_UNIT = ["id", "key", "start", "stop", "whole", "u", "v"]
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """Chunks between local minima of the rolling hash, with two or more lines that are not blank."""
+    order = Window.partitionBy(*_ROW).orderBy("pos")
+    low = F.col("h").bitwiseAND(_LOW)
+    rows = lines.withColumn("rolling", (F.coalesce(F.lag(low).over(order), F.lit(0)) * _BASE + low) % _PRIME)
+    before = F.lag("rolling").over(order)
+    minimum = (before < F.lag("rolling", 2).over(order)) & (before <= F.col("rolling")) & ((F.col("pos") > 2) | F.lead("pos").over(order).isNotNull())
+    rows = rows.withColumn("cut", F.when(minimum, F.col("pos")))
+    rows = rows.withColumn("start", F.coalesce(F.last("cut", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    place = F.col("pos") - F.col("start")
+    found = rows.groupBy(*_ROW, "start").agg(
+        F.max("pos").alias("stop"), F.count_if("full").alias("full"), F.bit_xor(F.xxhash64(F.lit(3), "h", "c", place)).alias("u"), F.bit_xor(F.xxhash64(F.lit(4), "c", "h", place)).alias("v"))
+    return found.where("full >= 2").withColumn("whole", F.lit(True)).select(*_UNIT)
+
+
+def _pairs(lines: DataFrame) -> DataFrame:
+    """Every two neighbouring lines that are not blank, and every long line."""
+    order = Window.partitionBy(*_ROW).orderBy("pos")
+    rows = lines.where("full").select("*", F.lead("pos").over(order).alias("then"), F.lead("h").over(order).alias("h2"), F.lead("c").over(order).alias("c2"))
+    two = F.when(F.col("then").isNotNull(), F.struct(F.col("then").alias("stop"), F.xxhash64(F.lit(2), "h", "c", "h2", "c2").alias("u"), F.xxhash64(F.lit(5), "c2", "h2", "c", "h").alias("v")))
+    one = F.when(F.col("long"), F.struct(F.col("pos").alias("stop"), F.xxhash64(F.lit(1), "h", "c").alias("u"), F.xxhash64(F.lit(6), "c", "h").alias("v")))
+    return rows.select(*_ROW, F.col("pos").alias("start"), F.explode(F.array_compact(F.array(two, one))).alias("x")).select(*_ROW, "start", "x.stop", F.lit(False).alias("whole"), "x.u", "x.v")
+
+
+def _runs(places: DataFrame) -> DataFrame:
+    """``runs`` of every (``id``, ``key``), in order: its places put together where they touch, ``a`` to ``b``, with the whole chunks in each."""
+    order = Window.partitionBy(*_ROW).orderBy("start", "stop")
+    rows = places.withColumn("end", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("end") >= F.col("start") - 1, 0).otherwise(1)).over(order))
+    chunk = F.when(F.col("whole"), F.struct(F.col("start").alias("a"), F.col("stop").alias("b")))
+    rows = rows.groupBy(*_ROW, "run").agg(F.min("start").alias("a"), F.max("stop").alias("b"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    return rows.groupBy(*_ROW).agg(F.sort_array(F.collect_list(F.struct("a", "b", "chunks"))).alias("runs")).select(F.col("id").alias("of"), F.col("key").alias("of_key"), "runs")
 
-    def headed(u: Column) -> Column:
-        first = F.get(F.col("units"), F.array_position(F.col("hashes"), u["hash"]).cast("int") - 1)
-        return F.struct(u["start"].alias("start"), u["n"].alias("n"), u["whole"].alias("whole"), u["hash"].alias("hash"), first["start"].alias("head"), first["n"].alias("head_n"))
 
-    return rows.select("id", "key", "lines", F.transform("units", headed).alias("units"))
+def _of(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(others, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), how).drop("of", "of_key")
 
 
-def _n_words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, common.WORD_GAP), lambda w: w != ""))
+def repeated_places(lines: DataFrame) -> DataFrame:
+    """Units (chunks, pairs and long lines) that occur twice or more, with the id of the ``first`` document and whether another stands earlier: ``again``."""
+    units = _chunks(lines).union(_pairs(lines))
+    counted = units.groupBy("u", "v").agg(F.count("*").alias("times"), F.min("id").alias("first")).where("times > 1").drop("times")
+    places = units.join(counted, ["u", "v"]).repartition(*_ROW)
+    earlier = F.row_number().over(Window.partitionBy(*_ROW, "u", "v").orderBy("start")) > 1
+    return places.withColumn("again", (F.col("first") != F.col("id")) | earlier)
 
 
-def _unit_body(whole: Column, start: Column, n: Column) -> Column:
-    """A chunk's lines with the blank ones; the one or two lines of another unit."""
-    line = lambda i: F.get(F.col("lines"), i)
-    return F.when(whole, _body(start, n)).when(n == 1, line(start)).otherwise(F.concat(line(start), F.lit("\n"), line(start + n - 1)))
+def unequal(told: DataFrame) -> DataFrame:
+    """Rows (``of``, ``of_key``) that hold a ``line`` whose hashes another line of ``told`` has too, by their bytes."""
+    named = told.select("id", "key", "line", *_names(F.col("line")))
+    shared = named.select("h", "c", "line").distinct().groupBy("h", "c").agg(F.count("*").alias("lines")).where("lines > 1").select("h", "c")
+    return named.select("id", "key", "h", "c").join(shared, ["h", "c"], "left_semi").select(F.col("id").alias("of"), F.col("key").alias("of_key")).distinct()
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``dedup``, and also without repeated passages of more than ``MIN_WORDS`` words wherever their chunks end.
 
     A passage is a run of lines covered by units (two neighbouring lines, or one long line) that stand earlier in the corpus: in a document with a
-    smaller id, or before in the same one. Every line removed has an equal one at an earlier place, so one of each stays.
-    Only units whose hash repeats are gathered with their bytes.
+    smaller id, or before in the same one. Every line removed has an equal one at an earlier place, so one of each stays. Units are
+    told apart by 128 bits over the hashes of their lines; the repeated lines themselves are compared byte by byte, and a document
+    with a line that only its hashes repeat stays as it is.
     """
     keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.select("id", "key", "text")
-    # Outer: for the other kind Spark puts a filter below and repeats all expressions in it. A null hash joins nothing.
-    units = _united(rows).select("id", "key", F.explode_outer("units").alias("u")).select("id", "key", "u.*")
-    counted = units.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    places = common.stage(units.join(counted, "hash", "left_semi").distinct())
-    listed = places.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("start", "n", "whole", "hash")).alias("listed"))
-    told = rows.join(listed, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key"))).withColumn("lines", F.split("text", "\n", -1))
-    told = told.select("id", F.explode_outer(F.transform("listed", lambda u: F.struct(u["hash"].alias("hash"), _unit_body(u["whole"], u["start"], u["n"]).alias("body")))).alias("u"))
-    firsts = told.groupBy("u.hash", "u.body").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-
-    found = places.join(firsts, "hash").where((F.col("first") != F.col("id")) | (F.col("head") != F.col("start")))
-    found = found.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.collect_list(F.struct("start", "n", "whole", "head", "head_n", "body", "first")).alias("found"))
-    out = keyed.drop("text").join(found, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    out = out.withColumn("lines", F.split(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), "\n", -1))
-
-    def again(f: Column) -> Column:  # byte comparison with the counted body, and in the row with the first one
-        earlier = (f["head"] != f["start"]) & (_unit_body(f["whole"], f["head"], f["head_n"]) == f["body"])
-        return (_unit_body(f["whole"], f["start"], f["n"]) == f["body"]) & ((f["first"] != F.col("id")) | earlier)
-
-    covers = lambda units: F.flatten(F.transform(units, lambda f: F.sequence(f["start"], f["start"] + f["n"] - 1)))
-    out = out.withColumn("found", F.filter("found", again))
-    out = out.withColumn("covered", F.array_sort(F.array_distinct(covers(F.col("found"))))).withColumn("runs", F.transform("covered", lambda i, k: i - k))
-    size = lambda r: F.aggregate(F.filter("covered", lambda i, k: i - k == r), F.lit(0), lambda n, i: n + _n_words(F.get(F.col("lines"), i)))
-    out = out.withColumn("runs", F.filter(F.array_distinct("runs"), lambda r: size(r) > MIN_WORDS))
-    passages = F.filter("covered", lambda i, k: F.array_contains("runs", i - k))
-    gone = F.array_distinct(F.concat(covers(F.filter("found", lambda f: f["whole"])), passages))
-    out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    places = repeated_places(_line_rows(keyed))
+    # Both joins below read this exchange: ``told`` takes the whole row, or Spark would shuffle a narrower one again.
+    rows = keyed.select("row", "id", "key").repartition(*_ROW)
+    cut = lambda text: F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
+    told = _of(rows, _runs(places)).select("id", "key", "runs", cut(F.element_at(F.array_repeat("row", 1), 1)[text_col]).alias("lines"))
+    told = told.select("id", "key", F.explode(F.flatten(F.transform("runs", lambda r: F.slice("lines", r["a"] + 1, r["b"] - r["a"] + 1)))).alias("line"))
+    found = _runs(places.where("again"))
+    found = found.join(unequal(told), ["of", "of_key"], "left_anti")
+
+    out = _of(rows, found, "left").withColumn("lines", cut(F.col("row")[text_col]))
+    body = lambda r: F.array_join(F.slice("lines", r["a"] + 1, r["b"] - r["a"] + 1), "\n")
+    gone = F.flatten(F.transform("runs", lambda r: F.when(_n_words(body(r)) > MIN_WORDS, F.array(F.struct(r["a"].alias("a"), r["b"].alias("b")))).otherwise(r["chunks"])))
+    out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<struct<a:int,b:int>>")))
+    n_lines = F.size("lines")
+    # What stands between the parts that go.
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["b"] + 1))
+    stops = F.concat(F.transform("gone", lambda g: g["a"]), F.array(n_lines))
+    left = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("lines", a + 1, b - a)))
+    out = out.withColumn("left", F.when(F.size("gone") > 0, left))
+    out = out.withColumn("rest", F.array_join("left", "\n"))
     # Blank lines that alone are left go too.
-    left = F.exists(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.rlike(F.get(F.col("lines"), i), F.lit(_FULL)) & ~F.array_contains("gone", i)) | (F.size("gone") == 0)
-    out = out.withColumn("gone", F.when(left, F.col("gone")).otherwise(F.sequence(F.lit(0), F.size("lines") - 1)))
-    rest = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.size("gone") > 0, rest).otherwise(F.col("row")[text_col].cast("string"))
-    return out.select(F.col("row").withField(text_col, text).alias("row"), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    blank = ~F.rlike("rest", F.lit(_FULL))
+    text = F.when(F.col("left").isNull(), F.col("row")[text_col].cast("string")).when(blank, F.lit("")).otherwise(F.col("rest"))
+    removed = F.when(F.col("left").isNull(), 0).when(blank, n_lines).otherwise(n_lines - F.size("left"))
+    return out.select(F.col("row").withField(text_col, text).alias("row"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
