@@ -1,7 +1,7 @@
 """Buyer campaign: search results and pages in, graded companies, contacts and reports out.
 
 Tables that several later steps read (page extracts, provisional grades, records) are stored once, in
-``stage_dir`` or as reliable checkpoints. The rest is lazy.
+``stage_dir``, where an interrupted run finds them again, or as reliable checkpoints. The rest is lazy.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from leadloom.config import Campaign, EmailRules, GradeRules, ResultRules
 from leadloom.functions import emails, grouping, ids, text as t, urls
 from leadloom.operators import companies as co, contacts as ct, discovery, grading, names, pages as pg
 from leadloom.sources.dimensions import with_country_facts
+from leadloom.sources.stages import Stages, fingerprint
 
 # Sites of these classes are settled by their home page.
 SETTLED_SITES = ("platform", "spam", "tourism", "investment", "legal", "logistics", "cleanroom", "software", "media",
@@ -33,12 +34,8 @@ class BuyerTables:
     holds: DataFrame
 
 
-def stage(df: DataFrame, name: str, stage_dir: str | None) -> DataFrame:
-    """Store a table that is read more than once and go on from the stored copy."""
-    if stage_dir is None:
-        return grouping.durable(df)
-    df.write.mode("overwrite").parquet(f"{stage_dir}/{name}")
-    return df.sparkSession.read.parquet(f"{stage_dir}/{name}")
+def _keep(stages: Stages | None, df: DataFrame, name: str) -> DataFrame:
+    return grouping.durable(df) if stages is None else stages.keep(df, name)
 
 
 def directory_links(sources: DataFrame, pages: DataFrame, email_rules: EmailRules = EmailRules()) -> DataFrame:
@@ -109,25 +106,25 @@ def visited_pages(provisional: DataFrame, home: DataFrame, extracted: DataFrame,
 
 
 def read_sites(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_rules: EmailRules = EmailRules(),
-               stage_dir: str | None = None) -> DataFrame:
+               stages: Stages | None = None) -> DataFrame:
     """Page extracts of the candidates' sites, stored. Pages without text are left out: such a site counts as not readable."""
     keyed = pages.withColumn("_d", urls.registrable_domain("url"))
     wanted = candidates.select(F.col("domain").alias("_d")).distinct()
     if campaign.candidate_ceiling is not None:  # a stated number of domains: the pages need not be shuffled to meet them
         wanted = F.broadcast(wanted)
-    extracted = stage(pg.extract_pages(keyed.join(wanted, "_d", "left_semi").drop("_d"), email_rules), "page_extract", stage_dir)
+    extracted = _keep(stages, pg.extract_pages(keyed.join(wanted, "_d", "left_semi").drop("_d"), email_rules), "page_extract")
     return extracted.where(F.trim("text") != "")
 
 
 def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_rules: EmailRules = EmailRules(),
-            grade_rules: GradeRules = GradeRules(), stage_dir: str | None = None, extracted: DataFrame | None = None) -> DataFrame:
+            grade_rules: GradeRules = GradeRules(), stages: Stages | None = None, extracted: DataFrame | None = None) -> DataFrame:
     """One graded record per candidate with a readable site; `email_candidates` holds every address of its visited pages."""
     if extracted is None:
-        extracted = read_sites(candidates, pages, campaign, email_rules, stage_dir)
+        extracted = read_sites(candidates, pages, campaign, email_rules, stages)
     home = _home_pages(extracted)
-    provisional = stage(provisional_grades(candidates, home, campaign, grade_rules), "provisional", stage_dir)
+    provisional = _keep(stages, provisional_grades(candidates, home, campaign, grade_rules), "provisional")
     visits = visited_pages(provisional, home, extracted, campaign, email_rules)
-    deep = stage(home.join(visits, "domain", "left"), "visited", stage_dir)
+    deep = _keep(stages, home.join(visits, "domain", "left"), "visited")
     identity = F.concat_ws(" ", F.col("text"), F.transform(
         F.filter("visits", lambda p: p["source_priority"] >= 2), lambda p: p["text"]))
     found = F.concat(
@@ -173,18 +170,32 @@ def analyse(candidates: DataFrame, pages: DataFrame, campaign: Campaign, email_r
 
 def run(results: DataFrame, pages: DataFrame, campaign: Campaign, rules: ResultRules | None = None,
         email_rules: EmailRules = EmailRules(), grade_rules: GradeRules = GradeRules(),
-        stage_dir: str | None = None, external: DataFrame | None = None) -> BuyerTables:
+        stage_dir: str | None = None, external: DataFrame | None = None, previous: DataFrame | None = None,
+        inputs: str | None = None) -> BuyerTables:
     """All tables of a campaign. ``external`` fills qualified companies without an address from outside contacts
-    (`companies.enrich_contacts`)."""
+    (`companies.enrich_contacts`).
+
+    With ``stage_dir``, a run that was interrupted goes on from its finished stages if settings and inputs are the same; ``inputs`` names the
+    inputs where the caller knows them by a version, else their files or rows are compared. ``previous``: records of an
+    earlier run, whose (domain, country) pairs are not analysed again and which join the new records.
+    """
     rules = rules or ResultRules(industry_terms=campaign.industry_terms())
+    tables = [inputs] if inputs is not None else [df for df in (results, pages, external, previous) if df is not None]
+    known = (external is not None, previous is not None)
+    mark = "" if stage_dir is None else fingerprint(campaign, rules, email_rules, grade_rules, known, *tables)
+    stages = Stages(results.sparkSession, stage_dir, mark)
     filtered, pool, chosen = discover(results, campaign, rules, pages)
-    candidates = stage(chosen, "candidates", stage_dir)
-    extracted = read_sites(candidates, pages, campaign, email_rules, stage_dir)
-    records = analyse(candidates, pages, campaign, email_rules, grade_rules, stage_dir, extracted)
+    if previous is not None:
+        chosen = discovery.pending_candidates(chosen, previous.select(F.concat_ws("|", "domain", "target_country").alias("key")))
+    candidates = stages.keep(chosen, "candidates")
+    extracted = read_sites(candidates, pages, campaign, email_rules, stages)
+    records = analyse(candidates, pages, campaign, email_rules, grade_rules, stages, extracted)
     if external is not None and campaign.include_external:
         records = co.enrich_contacts(records, external, email_rules)
-    records = stage(records, "records", stage_dir)
-    owned = stage(co.assign_owners(records, email_rules), "owned", stage_dir)
+    if previous is not None:
+        records = previous.unionByName(records)
+    records = stages.keep(records, "records")
+    owned = stages.keep(co.assign_owners(records, email_rules), "owned")
     merged = co.merge_owned(owned, records.columns, email_rules)
     addresses = co.company_addresses(owned, email_rules)
     contacts = ct.review_contacts(company_contacts(merged, addresses, email_rules), campaign.include_external, email_rules)

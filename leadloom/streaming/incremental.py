@@ -7,24 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom.config import ResultRules
 from leadloom.functions import urls
 from leadloom.operators.discovery import accepted, pool_candidates, prefilter_results
+from leadloom.sources.stages import stored
+from leadloom.streaming.ledger import KeyLedger
 
 
 def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
     """Rows that earlier batches wrote; empty before the first one."""
-    try:
-        stored = spark.read.schema(f"{schema}, batch_id long").parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return stored.where(F.col("batch_id") < before).drop("batch_id")
+    return stored(spark, f"{schema}, batch_id long", path).where(F.col("batch_id") < before).drop("batch_id")
 
 
 def _store(df: DataFrame, path: str, batch_id: int) -> None:
@@ -41,30 +36,32 @@ def incremental_pool(results: DataFrame, out: str, checkpoint: str, rules: Resul
                      analyse: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Admit only new country and domain pairs of each batch of search results.
 
-    ``out`` holds the admitted candidates; their keys are the ledger of later batches. ``analyse`` is
-    called with the admitted candidates of each batch, so goals can be checked before the next one.
+    ``out`` holds the admitted candidates, ``out``.keys the ledger of their keys for later batches. ``analyse`` is
+    called with the admitted candidates of each batch. Queries that follow the goals are run by `refill.refill`.
     """
-    keys = "country string, domain string"
+    known = KeyLedger(f"{out.rstrip('/')}.keys", "country string, domain string")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = _stored(spark, out, keys, batch_id)
-        fresh = accepted(prefilter_results(batch, rules, country_facts)).join(seen, ["country", "domain"], "left_anti")
+        fresh = known.unseen(accepted(prefilter_results(batch, rules, country_facts)), batch_id)
         _store(pool_candidates(fresh), out, batch_id)
+        admitted = batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
+        known.add(admitted, batch_id)
         if analyse is not None:
-            analyse(spark.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
+            analyse(admitted, batch_id)
 
     return _start(results, each, checkpoint)
 
 
 def incremental_pages(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep each page once per run. The ledger of page keys is a table on disk, not operator state."""
+    """Keep each page once per run. The ledger of page keys (``out``.keys) is a table on disk, not operator state."""
+    known = KeyLedger(f"{out.rstrip('/')}.keys", "page_key string")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("page_key", urls.page_key("url"))
+        keyed = known.unseen(batch.withColumn("page_key", urls.page_key("url")), batch_id)
         once = (keyed.groupBy("page_key").agg(F.min_by(F.struct(*batch.columns), "url").alias("_p"))
                 .select("page_key", "_p.*"))
-        seen = _stored(batch.sparkSession, out, "page_key string", batch_id)
-        _store(once.join(seen, "page_key", "left_anti"), out, batch_id)
+        _store(once, out, batch_id)
+        known.add(batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
 
     return _start(pages, each, checkpoint)
 

@@ -11,8 +11,9 @@ from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
 from leadloom.functions import catalog, grouping, numbers, text as t, urls
 from leadloom.operators import companies as co, contacts as ct, creators as cr, discovery as di, grading as gr
 from leadloom.operators import names as nm, pages as pg, planning as pl, reports as rp
+from leadloom.plans import buyer
 from leadloom.sources import dimensions, readers, sinks
-from leadloom.streaming import incremental
+from leadloom.streaming import incremental, refill
 from leadloom.workload import tables as w, verdict_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1179,3 +1180,83 @@ def incremental_pages(spark, sf):
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/*")
     incremental.incremental_pages(stream, f"{out}/pages", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/pages").select("page_key")
+
+
+# ------------------------------------------------------------------ refill and resume
+
+_REFILL = Campaign(countries=("United Kingdom", "France", "Germany", "Spain"), candidate_limit=64, target_per_country=20, qualified_target=12,
+                   email_target=60, max_queries=60)
+_ROUNDS = 3
+
+
+def _refill_plan(spark, sf) -> DataFrame:
+    """Every (keyword, country) query once, at the place of its first result, dealt to three rounds by its place."""
+    found = w.hits(spark, sf).where("country IS NOT NULL").groupBy("country", "keyword", "query").agg(F.min("arrival").alias("place"))
+    return found.withColumn("round", F.col("place") % _ROUNDS)
+
+
+def _refill_sql() -> str:
+    """The same rounds one after another: state, queries that run, new pairs, next state."""
+    n = len(_REFILL.countries)
+    site, qualified, mail = -(-_REFILL.candidate_limit // n), -(-_REFILL.qualified_target // n), _REFILL.target_per_country
+    steps = [w.FILTERED, """plan AS (SELECT country, keyword, query, min(arrival) AS place, min(arrival) % 3 AS round FROM hits WHERE country IS NOT NULL GROUP BY country, keyword, query)""",
+             "t0 AS (SELECT country, 0 AS analysed, 0 AS qualified, 0 AS addresses, 0 AS calls FROM plan WHERE false)", "k0 AS (SELECT country, domain FROM filtered WHERE false)"]
+    for r in range(_ROUNDS):
+        steps += [
+            f"m{r} AS (SELECT country FROM t{r} WHERE analysed >= {site} AND qualified >= {qualified} AND addresses >= {mail} AND (SELECT sum(addresses) FROM t{r}) >= {_REFILL.email_target})",
+            f"""q{r} AS (SELECT p.country, p.query, p.place FROM (SELECT plan.*, row_number() OVER (PARTITION BY plan.country ORDER BY place) + coalesce(calls, 0) AS turn FROM plan LEFT JOIN t{r} USING (country)
+                WHERE round = {r} AND plan.country NOT IN (SELECT country FROM m{r})) p WHERE turn <= {-(-_REFILL.max_queries // n)}
+                QUALIFY row_number() OVER (ORDER BY place) <= {_REFILL.max_queries} - (SELECT coalesce(sum(calls), 0) FROM t{r}))""",
+            f"""p{r} AS (SELECT f.country, f.domain, max(points) AS score, count(*) AS hits FROM filtered f JOIN q{r} USING (query) WHERE reject_reason IS NULL
+                AND NOT EXISTS (SELECT 1 FROM k{r} k WHERE k.country = f.country AND k.domain = f.domain) GROUP BY f.country, f.domain)""",
+            f"k{r + 1} AS (SELECT * FROM k{r} UNION ALL SELECT country, domain FROM p{r})",
+            f"""t{r + 1} AS (SELECT country, sum(analysed) AS analysed, sum(qualified) AS qualified, sum(addresses) AS addresses, sum(calls) AS calls FROM (
+                SELECT * FROM t{r} UNION ALL SELECT country, 0, 0, 0, count(*) FROM q{r} GROUP BY country
+                UNION ALL SELECT country, count(*), count_if(score >= 8), sum(least(hits, 2)), 0 FROM p{r} GROUP BY country) GROUP BY country)"""]
+    whole = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("analysed", "qualified", "addresses", "calls"))
+    rounds = " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS round, country, {whole} FROM t{r + 1}" for r in range(_ROUNDS))
+    return f"WITH {', '.join(steps)} {rounds}"
+
+
+@query(_refill_sql())
+def refill_rounds(spark, sf):
+    """Three batches of planned queries under goals per country, and the state after each of them.
+
+    Sites with a score of 8 or more count as qualified, up to two results of a site as its approved addresses.
+    """
+    out, plan = scratch(spark), _refill_plan(spark, sf)
+    hits = w.hits(spark, sf).where("country IS NOT NULL")
+
+    def analyse(pool: DataFrame, batch_id: int) -> DataFrame:
+        return pool.select("country", "domain", (F.col("candidate_score") >= 8).alias("qualified"), F.least("hits", F.lit(2)).alias("addresses"))
+
+    for k in range(_ROUNDS):  # one micro-batch each: what has come since the last
+        batch = plan.where(F.col("round") == k).select("place", "country", "keyword", "query")
+        batch.write.mode("append").parquet(f"{out}/plan")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{out}/plan")
+        refill.refill(stream, hits, analyse, f"{out}/refill", f"{out}/state", _REFILL, _REFILL.max_queries, RULES).awaitTermination()
+    totals = spark.read.schema(f"{refill.TOTALS}, batch_id long").parquet(f"{out}/refill/totals")
+    return flat(totals.withColumnRenamed("batch_id", "round"), "round", "country", "analysed", "qualified", "addresses", "calls")
+
+
+_SITES = w.FILTERED.replace(f"{w.HOST} AS host", f"regexp_extract({w.HOST}, '([^.]+\\.[^.]+)$', 1) AS host")
+_RESUMED = Campaign(industry="cosmetics", countries=("United Kingdom", "France", "Germany", "Spain"), candidate_ceiling=None)
+
+
+@query(f"""WITH {_SITES}, ok AS (SELECT * FROM filtered WHERE reject_reason IS NULL AND country IS NOT NULL),
+  one AS (SELECT country, domain, max(points) AS score FROM ok WHERE profile = 'local_market' GROUP BY country, domain),
+  two AS (SELECT country, domain, max(points) AS score FROM ok GROUP BY country, domain)
+  SELECT two.country AS target_country, two.domain, CAST(coalesce(one.score, two.score) AS BIGINT) AS candidate_score, one.domain IS NOT NULL AS from_before FROM two LEFT JOIN one USING (country, domain)""")
+def resumed_campaign(spark, sf):
+    """A campaign over part of the results, then over all of them with the records of the first as done work, then the
+    second started once more without any pages, as after an interruption: its stages are there, so no page is read."""
+    out = scratch(spark)
+    rules = replace(RULES, host_key="registrable")
+    hits = w.hits(spark, sf).where("country IS NOT NULL")
+    pages = w.table(spark, sf, "pages").select("url", "html")
+    first = buyer.run(hits.where("profile = 'local_market'"), pages, _RESUMED, rules, stage_dir=f"{out}/first", inputs="part").records
+    for again in (pages, pages.where(F.lit(False))):
+        whole = buyer.run(hits, again, _RESUMED, rules, stage_dir=f"{out}/whole", inputs="all", previous=first).records
+    before = first.select("domain", "target_country", F.lit(True).alias("from_before"))
+    rows = whole.join(before, ["domain", "target_country"], "left")
+    return flat(rows, "target_country", "domain", "candidate_score", F.coalesce("from_before", F.lit(False)).alias("from_before"))
