@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.config import EmailRules
 from leadloom.functions import emails, grouping, text as t, urls, vocabulary as v
+from leadloom.operators.suffixes import with_registrable
 from leadloom.sources.dimensions import with_country_facts
 
 # Attributes of a tag; quoted values may hold a closing bracket.
@@ -28,11 +29,16 @@ def dedup_pages(pages: DataFrame, order: str | None = None) -> DataFrame:
             .select("page_key", "_page.*"))
 
 
-def host_rollup(pages: DataFrame) -> DataFrame:
-    """Per registrable domain: pages, hosts, distinct paths, first and last URL."""
+def host_rollup(pages: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Per registrable domain: pages, hosts, distinct paths, first and last URL.
+
+    ``suffixes`` (column ``rule``): public-suffix rules; without them the fixed two-part suffixes count.
+    """
     parts = pages.select(
         urls.registrable_domain("url").alias("domain"), urls.host("url").alias("host"),
         urls.path("url").alias("path"), "url")
+    if suffixes is not None:
+        parts = with_registrable(parts, suffixes)
     return parts.groupBy("domain").agg(
         F.count("*").alias("pages"), F.count_distinct("host").alias("hosts"),
         F.count_distinct("path").alias("paths"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))

@@ -1,9 +1,13 @@
 """Readers of saved search responses, page corpora, creator files and run history."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from leadloom.functions.vocabulary import CREATOR_HEADERS
+from leadloom.sources.sinks import REPORT_MANIFEST
+from leadloom.sources.stages import stored
 
 SEARCH_RESPONSE = ("query string, country string, profile string, keyword string, task_idx int, request_id string, "
                    "results array<struct<title: string, url: string, content: string, description: string, score: double>>")
@@ -30,6 +34,18 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return pages.where(F.coalesce("html", F.lit("")) != "")
 
 
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Public-suffix rules, one a line with ``//`` comments, as `suffixes.with_registrable` takes them."""
+    rows = spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S*)", 1).alias("rule"))
+    return rows.where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
+
+
+def read_report(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+    """The sections of a run's report as `sinks.publish_report` last published it, all of one attempt."""
+    rows = stored(spark, REPORT_MANIFEST, f"{path.rstrip('/')}/manifests/{run_id}").collect()  # one per section
+    return {r.section: spark.read.schema(T.StructType.fromJson(json.loads(r.schema))).parquet(f"{path.rstrip('/')}/data/{r.attempt}/{r.section}") for r in rows}
+
+
 def read_tlds(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Top-level domains of a root-zone list, one a line, as `EmailRules.tlds` takes them. The list has a few thousand lines."""
     lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("tld")).where("tld != '' AND NOT startswith(tld, '#')")

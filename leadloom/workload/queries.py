@@ -11,7 +11,7 @@ from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
 from leadloom.functions import catalog, grouping, numbers, text as t, urls
 from leadloom.operators import companies as co, contacts as ct, creators as cr, discovery as di, grading as gr
 from leadloom.operators import names as nm, pages as pg, planning as pl, reports as rp
-from leadloom.plans import buyer
+from leadloom.plans import buyer, rounds
 from leadloom.sources import dimensions, readers, sinks
 from leadloom.streaming import incremental, refill
 from leadloom.workload import tables as w, verdict_sql
@@ -429,7 +429,7 @@ def chosen_contacts(spark, sf):
         "domain", "company_email", "email_purpose", "email_grade", "email_domain_status", "has_official_email")
 
 
-@query(f"""WITH {w.RECORDS}, r AS (SELECT *, CAST(relevance_score AS VARCHAR) || '.com' AS domain FROM records WHERE record_id LIKE '0-%'),
+@query(f"""WITH {w.RECORDS}, r AS (SELECT *, CAST(relevance_score AS VARCHAR) || '.com' AS domain FROM records),
   x AS (SELECT CAST(s_suppkey % 101 AS VARCHAR) || '.com' AS domain, 'team' || s_suppkey || '@mail.com' AS value,
       s_suppkey % 2 = 0 AS generic, s_suppkey % 90 AS confidence,
       CASE s_suppkey % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'risky' END AS st FROM supplier),
@@ -439,7 +439,8 @@ def chosen_contacts(spark, sf):
     CASE WHEN f THEN CASE st WHEN 'invalid' THEN 'excluded' WHEN 'risky' THEN 'C' ELSE 'B' END ELSE email_grade END AS email_grade
   FROM (SELECT r.*, value, st, coalesce(quality_decision = 'qualified' AND company_email IS NULL AND value IS NOT NULL, false) AS f FROM r LEFT JOIN best USING (domain))""")
 def enriched_contacts(spark, sf):
-    companies = w.records(spark, sf).where(F.col("record_id").startswith("0-")).withColumn(
+    """Every record, enriched where it is a qualified company without an address and its site has an outside contact."""
+    companies = w.records(spark, sf).withColumn(
         "domain", F.concat(F.col("relevance_score").cast("string"), F.lit(".com")))
     k = F.col("s_suppkey")
     external = w.table(spark, sf, "supplier").select(
@@ -907,14 +908,14 @@ def creator_queries(spark, sf):
 def _type_keywords(spark, sf) -> DataFrame:
     """Part types as keywords, by their first part."""
     types = w.table(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("a"))
-    return grouping.first_k(types.withColumn("_all", F.lit(0)), ["_all"], ["a", "p_type"], 10_000).select(
+    return grouping.sequential(types, ["a", "p_type"], "place").select(
         (F.col("place") - 1).cast("long").alias("position"), F.concat(F.lower("p_type"), F.lit(" importer")).alias("keyword"))
 
 
 def _brand_products(spark, sf) -> DataFrame:
     """Products of the campaign in turn over the brands, by the number of parts of each brand."""
     brands = w.table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    ranked = grouping.first_k(brands.withColumn("_all", F.lit(0)), ["_all"], ["n", "p_brand"], 10_000)
+    ranked = grouping.sequential(brands, ["n", "p_brand"], "place")
     names = F.array(*[F.lit(p) for p in CAMPAIGN.products])
     return ranked.select((F.col("place") - 1).cast("long").alias("position"), F.when(F.col("place") <= len(CAMPAIGN.products), F.get(names, F.col("place") - 1)).otherwise(
         F.lower("p_brand")).alias("product"))
@@ -1260,3 +1261,111 @@ def resumed_campaign(spark, sf):
     before = first.select("domain", "target_country", F.lit(True).alias("from_before"))
     rows = whole.join(before, ["domain", "target_country"], "left")
     return flat(rows, "target_country", "domain", "candidate_score", F.coalesce("from_before", F.lit(False)).alias("from_before"))
+
+
+# ------------------------------------------------------------------ suffix rules, lists, report sets, rounds
+
+_SUFFIXES = ("com", "example.com", "org", "*.org", "!example.org", "// comment", "")
+
+
+@query(f"""WITH h AS (SELECT url, {w.HOST} AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS ls FROM h WHERE host <> ''),
+  n AS (SELECT *, CASE WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 1 WHEN host = 'example.com' OR host LIKE '%.example.com' THEN 2
+      WHEN host LIKE '%.org' THEN 2 ELSE 1 END AS k FROM l)
+  SELECT array_to_string(ls[greatest(1, len(ls) - k):], '.') AS domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM n GROUP BY 1""")
+def suffix_domains(spark, sf):
+    """Pages per registrable domain under a list of suffix rules with a wildcard and an exception."""
+    rules = spark.createDataFrame([(r,) for r in _SUFFIXES], "rule string")
+    return pg.host_rollup(w.table(spark, sf, "pages"), rules).select("domain", "pages", "hosts")
+
+
+@query(f"WITH {_HARVEST} SELECT url, domain, email FROM harvest WHERE regexp_matches(email, '\\.(com|org|de)$')")
+def email_harvest_listed(spark, sf):
+    """Addresses under a list of top-level domains: others, however shaped, are no addresses."""
+    rules = replace(NO_BLOCK, tlds=("com", "org", "de"))
+    docs = _documents_as_pages(spark, sf).withColumn("emails", pg.page_emails(F.col("text"), F.col("anchors"), rules))
+    return flat(pg.harvest_emails(docs, rules), "url", "domain", "email")
+
+
+#: Section -> the query whose rows it holds, and the columns that are compared.
+_REPORT = {"companies": ("report_rows", ("record_id", "priority", "row_number")), "mailing": ("letter_status", ("company_email", "company_id", "letter_status")),
+           "approved": ("approved_export", ("company_id", "company_name", "company_email", "target_country", "email_status", "email_source_url", "delivery_status")),
+           "review": ("contact_review", ("company_email", "company_id", "review_reasons", "delivery_status")), "letters": ("letters", ("company_id", "recipient_email", "subject_en", "body_en")),
+           "countries": ("country_summary", ("country", *_NUMBERS)), "verdicts": ("industry_verdicts", ("doc_id", "major", "priority", "quality_decision")),
+           "subcategories": ("subcategory_coverage", ("subcategory", "country", "selected_products", "searched_products", "search_calls", "search_state")),
+           "evidence": ("evidence_log", ("kind", "rows", "results")), "exclusions": ("exclusion_reasons", ("reason", "companies"))}
+
+
+def _report_sql() -> str:
+    def section(name: str) -> str:
+        source, columns = _REPORT[name]
+        kept = " WHERE review_reasons <> ''" if name == "review" else ""
+        items = ", '|', ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
+        return f"SELECT {w.quote(name)} AS section, concat({items}) AS item FROM ({SQL[source]}) AS s{kept}"
+    return " UNION ALL ".join(map(section, _REPORT))
+
+
+@query(_report_sql())
+def report_set(spark, sf):
+    """All sections of a report, published as one and read back; an attempt that broke off before is not seen."""
+    out, tables = scratch(spark), {}
+    for name, (source, columns) in _REPORT.items():
+        rows = QUERIES[source](spark, sf)
+        tables[name] = (rows.where(F.col("review_reasons") != "") if name == "review" else rows).select(*columns)
+    sinks.publish_report({name: tables[name] for name in ("exclusions", "evidence")}, out, "run-1")
+    sinks.publish_report(tables, out, "run-1")
+    found = readers.read_report(spark, out, "run-1")
+    item = lambda columns: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    return rp.union_records([found[name].select(F.lit(name).alias("section"), item(columns).alias("item")) for name, (_, columns) in _REPORT.items()])
+
+
+_ROUND_COUNTRIES = ("United Kingdom", "France", "Germany", "Spain")
+_ROUND = Campaign(countries=_ROUND_COUNTRIES, candidate_limit=180, email_target=50, target_per_country=5, qualified_target=80)
+_ROUND_BUDGET = 240
+
+
+def _round_queue(spark, sf) -> DataFrame:
+    """Documents as queries of three industries in the order of their ids: one site each, qualified or not, with an address or not."""
+    docs = w.table(spark, sf, "documents").select(
+        F.col("doc_id"), w.by_value(F.col("doc_id") % 3, _MAJORS).alias("major"), w.by_value(F.col("lang"), w.LANG_COUNTRIES).alias("country"),
+        (F.col("doc_id") % 2 == 0).cast("int").alias("qualified"), ((F.col("doc_id") % 3 + 2) * F.length("text") % 7 < 2).cast("int").alias("address"))
+    numbered = [grouping.sequential(docs.where(F.col("major") == m), ["doc_id"], "place") for m in _MAJORS.values()]
+    return rp.union_records(numbered)
+
+
+_ROUND_SQL = f"""RECURSIVE d AS (SELECT doc_id, doc_id % 3 AS m, {w.sql_case('lang', w.LANG_COUNTRIES)} AS country, CAST(doc_id % 2 = 0 AS INTEGER) AS qualified,
+    CAST((doc_id % 3 + 2) * length(text) % 7 < 2 AS INTEGER) AS address, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS place FROM documents),
+  c AS MATERIALIZED (SELECT m, place, sum(qualified) OVER w AS q, sum(address) OVER w AS a, {', '.join(f"sum(CASE WHEN country = {w.quote(x)} THEN address ELSE 0 END) OVER w AS a{k}" for k, x in enumerate(_ROUND_COUNTRIES))}
+    FROM d WINDOW w AS (PARTITION BY m ORDER BY place ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT m, 0, 0, 0, 0, 0, 0, 0 FROM range(3) AS r(m)),
+  n AS MATERIALIZED (SELECT m, max(place) AS n FROM c GROUP BY m),
+  s AS (
+    SELECT 0 AS round, CAST(least(20, n0.n) AS BIGINT) AS u0, CAST(least(20, n1.n) AS BIGINT) AS u1, CAST(least(20, n2.n) AS BIGINT) AS u2, false AS x0, false AS x1, false AS x2
+    FROM n n0, n n1, n n2 WHERE n0.m = 0 AND n1.m = 1 AND n2.m = 2
+    UNION ALL
+    SELECT round + 1, CASE WHEN pick = 0 THEN least(u0 + grant_, n0) ELSE u0 END, CASE WHEN pick = 1 THEN least(u1 + grant_, n1) ELSE u1 END, CASE WHEN pick = 2 THEN least(u2 + grant_, n2) ELSE u2 END,
+      x0 OR (pick = 0 AND u0 = n0), x1 OR (pick = 1 AND u1 = n1), x2 OR (pick = 2 AND u2 = n2)
+    FROM (
+      SELECT s.*, least(12, {_ROUND_BUDGET} - (u0 + u1 + u2)) AS grant_, n0.n AS n0, n1.n AS n1, n2.n AS n2,
+        list_max(list_filter([CASE WHEN NOT x0 THEN struct_pack(y := CAST(c0.a AS DOUBLE) / greatest(u0, 1), name := 'cosmetics', k := 0) END, CASE WHEN NOT x1 THEN struct_pack(y := CAST(c1.a AS DOUBLE) / greatest(u1, 1), name := 'food', k := 1) END,
+          CASE WHEN NOT x2 THEN struct_pack(y := CAST(c2.a AS DOUBLE) / greatest(u2, 1), name := 'medical', k := 2) END], lambda z: z IS NOT NULL)).k AS pick
+      FROM s JOIN c c0 ON c0.m = 0 AND c0.place = u0 JOIN c c1 ON c1.m = 1 AND c1.place = u1 JOIN c c2 ON c2.m = 2 AND c2.place = u2, n n0, n n1, n n2
+      WHERE n0.m = 0 AND n1.m = 1 AND n2.m = 2 AND u0 + u1 + u2 < {_ROUND_BUDGET} AND NOT (x0 AND x1 AND x2)
+        AND NOT (u0 + u1 + u2 >= {_ROUND.candidate_limit} AND c0.a + c1.a + c2.a >= {_ROUND.email_target} AND c0.q + c1.q + c2.q >= {_ROUND.qualified_target}
+          AND {' AND '.join(f'c0.a{k} + c1.a{k} + c2.a{k} >= {_ROUND.target_per_country}' for k in range(4))})) WHERE pick IS NOT NULL),
+  r AS (SELECT round, unnest([0, 1, 2]) AS m, unnest([u0, u1, u2]) AS u, unnest([x0, x1, x2]) AS x FROM s)"""
+
+
+@query(f"""WITH {_ROUND_SQL} SELECT CAST(round AS BIGINT) AS round, (['cosmetics', 'food', 'medical'])[r.m + 1] AS major, CAST(u AS BIGINT) AS queries, CAST(a AS BIGINT) AS sendable,
+    CAST(u AS BIGINT) AS analysed, CAST(q AS BIGINT) AS qualified, x AS exhausted FROM r JOIN c ON c.m = r.m AND c.place = u""")
+def campaign_rounds(spark, sf):
+    """Base round of three industries, then rounds for the one with the best yield until the goals are met or the budget is spent."""
+    queue = grouping.durable(_round_queue(spark, sf))
+    majors = spark.createDataFrame([(m, k) for k, m in _MAJORS.items()], "major string, position long")
+
+    def execute(grants: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        ran = queue.join(F.broadcast(grants), "major").where((F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("granted")))  # one row per industry
+        found = ran.groupBy("major").agg(F.count("*").alias("queries"), F.sum("address").alias("sendable"), F.count("*").alias("analysed"), F.sum("qualified").alias("qualified"))
+        return found, ran.where("country IS NOT NULL").groupBy("country", "major").agg(F.sum("address").alias("addresses"))
+
+    states = rounds.run_rounds(spark, majors, execute, f"{scratch(spark)}/rounds", _ROUND, _ROUND_BUDGET)
+    return flat(states, "round", "major", "queries", "sendable", "analysed", "qualified", "exhausted")
