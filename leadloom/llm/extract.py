@@ -2,11 +2,13 @@
 
 A page is a sequence of words and tags. Words score +1; tags score below zero, with weights learned from labelled pages: pages that
 mark their article with ``<article>`` or ``<main>`` (or ``role=main``) tell for each kind of tag how often it stands inside and
-outside. A kind is the tag's name and its classes. A linear scan (best sum ending here) finds the contiguous region with the
+outside. A kind is the tag's name and its classes; a kind that the labelled pages do not show weighs as its single classes do, and
+those as the tag's name alone. A linear scan (best sum ending here) finds the contiguous region with the
 largest score. Elements that hold no article text by their meaning, or by what the labelled pages show, are cut out before.
 
-Weights come from all labelled pages, summed in Spark; the ``max_kinds`` most frequent kinds are kept (a documented bound of the
-model; the others weigh as little as inline tags). Pages that mark no article use the same weights.
+Weights come from all labelled pages, summed in Spark by the hash of the kind: the model has ``2**BITS`` slots whatever the number of
+kinds, and none is left out. Pages that mark no article use the same weights. What stands inside of articles, marks cannot
+teach to tell from the article; there a fixed list of names decides.
 
 Null html counts as empty; pages without text give an empty text. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by an empty line. Unclosed tags and comments are closed by what encloses them or by the
@@ -16,9 +18,11 @@ from __future__ import annotations
 
 import html as references
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ SILENT = frozenset("head script style noscript template iframe svg math canvas o
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+#: Elements of other languages, which may close themselves.
+FOREIGN = frozenset("svg math".split())
 #: Parts of class, id and role names that mark what stands beside an article.
 BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|"
                     r"sidebar|side|menu\w*|nav\w*|breadcrumb\w*|footer|foot|masthead|site-header|page-header|topbar|comments?|commentlist|disqus|replies|reply|related|share|sharing|social|widget\w*|"
@@ -58,7 +64,7 @@ def _opened(name: str, attributes: str) -> tuple[str, bool, bool]:
             if key in ("class", "id", "role"):
                 beside |= bool(BESIDE.search(value))
                 if key == "class":
-                    classes = ".".join(sorted(value.lower().split())[:4])
+                    classes = ".".join(sorted(set(value.lower().split())))
                 elif key == "role":
                     marked |= value.lower() == "main"
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -93,7 +99,7 @@ def read(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                         break
             continue
         kind, beside, mark = _opened(name, found[3])
-        if name in VOID:
+        if name in VOID or (name in FOREIGN and found[3].endswith("/")):
             yield "open", kind, name, quiet > 0, marked > 0
             continue
         if name in BLOCKS and stack and stack[-1].name == "p":  # a block ends an open paragraph
@@ -102,6 +108,7 @@ def read(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         elif name == "li" and stack and stack[-1].name == "li":
             node = stack.pop()
             quiet -= node.beside
+            marked -= node.marked
             yield "close", node.kind, node.name, quiet > 0, marked > 0
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -114,12 +121,27 @@ def read(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         marked += mark
 
 
-KINDS = pa.schema([("kind", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
+BITS = 20
+SLOTS = pa.schema([("slot", pa.int64()), ("inside", pa.int64()), ("outside", pa.int64())])
 
 
-def learn(pages: DataFrame, max_kinds: int = 2000) -> dict[str, tuple[int, int]]:
-    """How often each kind of tag stands inside and outside of the article in the pages that mark one."""
+def slot(kind: str) -> int:
+    return zlib.crc32(kind.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+def family(kind: str) -> list[str]:
+    """A kind, each of its classes alone with the tag's name, and the name; fewer if they are the same."""
+    name, *classes = kind.split(".")
+    return list(dict.fromkeys([kind, *(f"{name}.{c}" for c in classes), name]))
+
+
+def learn(pages: DataFrame, flush: int = 200_000) -> np.ndarray:
+    """How often each kind, class and name of tag stands inside (row 0) and outside (row 1) of the article in the pages that mark one, by slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(inside: Counter, outside: Counter) -> pa.RecordBatch:
+            slots = sorted(inside.keys() | outside.keys())
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([inside[k] for k in slots], pa.int64()), pa.array([outside[k] for k in slots], pa.int64())], schema=SLOTS)
+
         inside, outside = Counter(), Counter()
         for batch in batches:
             for cell in batch.column(0):
@@ -128,29 +150,46 @@ def learn(pages: DataFrame, max_kinds: int = 2000) -> dict[str, tuple[int, int]]
                     if what == "open" and not silent:
                         seen[mark][kind] += 1
                 if seen[1]:
-                    inside.update(seen[1])
-                    outside.update(seen[0])
-        kinds = sorted(inside.keys() | outside.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())], schema=KINDS)
+                    for total, some in ((outside, seen[0]), (inside, seen[1])):
+                        for kind, n in some.items():
+                            for each in family(kind):
+                                total[slot(each)] += n
+                if len(inside) + len(outside) > flush:
+                    yield told(inside, outside)
+                    inside, outside = Counter(), Counter()
+        yield told(inside, outside)
 
     html = pages.select(F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    total = html.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = total.orderBy((F.col("inside") + F.col("outside")).desc(), "kind").limit(max_kinds).collect()
-    return {r.kind: (r.inside, r.outside) for r in rows}
+    total = html.mapInArrow(run, "slot long, inside long, outside long").groupBy("slot").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    table = total.toArrow()  # a row for each slot at most
+    counts[:, table.column("slot").to_numpy()] = np.stack([table.column("inside").to_numpy(), table.column("outside").to_numpy()])
+    return counts
 
 
 class Scorer:
-    """Tag weights: -0.1 for inline tags and unknown kinds, down to -``steep`` for blocks that only stand outside of articles."""
+    """Tag weights: -0.1 for inline tags and what no labelled page shows, down to -``steep`` for blocks that only stand outside of articles."""
 
-    def __init__(self, kinds: dict[str, tuple[int, int]], steep: float = 200.0):
-        self.kinds, self.steep = kinds, steep
+    def __init__(self, counts: np.ndarray, steep: float = 200.0):
+        self.counts, self.steep = counts, steep
         self.known: dict[str, float] = {}
 
+    def share(self, kind: str) -> float:
+        """Share of a kind's places outside of articles; of its known classes on average, or of its name, if it was never seen."""
+        def of(key: str) -> float | None:
+            inside, outside = self.counts[:, slot(key)].tolist()
+            return outside / (inside + outside) if inside + outside else None
+
+        whole, *parts = [of(key) for key in family(kind)]
+        if whole is not None or not parts:
+            return whole or 0.0
+        classes = [p for p in parts[:-1] if p is not None]
+        return sum(classes) / len(classes) if classes else parts[-1] or 0.0
+
     def weight(self, kind: str, name: str) -> float:
         found = self.known.get(kind)
         if found is None:
-            inside, outside = self.kinds.get(kind, (1, 0))
-            share = outside / max(1, inside + outside) if name in BLOCKS else 0.0
+            share = self.share(kind) if name in BLOCKS else 0.0
             found = -self.steep if name in MARKS else -0.1 - self.steep * max(0.0, 2.0 * share - 1.0)
             if len(self.known) < 100_000:
                 self.known[kind] = found
@@ -198,9 +237,9 @@ class Scorer:
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def extract(pages: DataFrame, kinds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+def extract(pages: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row."""
-    scorer = Scorer(learn(pages) if kinds is None else kinds)
+    scorer = Scorer(learn(pages) if counts is None else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():

@@ -132,8 +132,42 @@ def test_pages(spark):
     assert extract.extract(table).count() == len(rows) and extract.extract(table.where("false")).count() == 0
 
 
+def counted(kinds):
+    counts = np.zeros((2, 1 << extract.BITS), np.float32)
+    for kind, both in kinds.items():
+        counts[:, extract.slot(kind)] = both
+    return counts
+
+
+def test_unseen_kinds_weigh_as_their_classes_or_name():
+    scorer = extract.Scorer(counted({"div": (10, 2), "div.menu": (0, 50), "div.body": (20, 0), "div.body.wide": (0, 5)}))
+    low = scorer.weight("div.menu", "div")
+    assert low < -150 and scorer.weight("div.body", "div") == scorer.weight("div.body.x9", "div") == scorer.weight("div.x", "div") == -0.1
+    assert scorer.weight("div.menu.x1", "div") == low and scorer.weight("div.body.wide", "div") < -150 and scorer.weight("section.new", "section") == -0.1
+
+
+def test_a_page_does_not_depend_on_the_kinds_of_others(spark):
+    page = '<body><div class="x1">menu one two three four</div><article><p>Alpha beta gamma delta epsilon zeta eta</p></article></body>'
+    plain = '<body><div class="x1">menu one two three four</div><div class="t"><p>Alpha beta gamma delta epsilon zeta eta</p></div></body>'
+    few = [(k, "u", page) for k in range(6)] + [(100, "u", plain)]
+    many = few + [(1000 + k, "u", f'<body><div class="c{k} d{k}">a</div><div class="c{k} d{k}">a</div><article><p class="e{k}">b</p></article></body>') for k in range(3000)]
+    texts = []
+    for rows in (few, many):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        texts.append({r.page_id: r.text for r in extract.extract(frame).where("page_id < 1000").collect()})
+    assert texts[0] == texts[1] and texts[0][100] == "Alpha beta gamma delta epsilon zeta eta" == texts[0][0]
+
+
+def test_empty_elements_of_other_languages_hide_nothing():
+    scorer = extract.Scorer(counted({}))
+    assert scorer.text('<p>one two three <svg/> four</p><p>five <math class="m"/> six</p><p>seven <svg viewBox="0"><path d=""/>hidden</svg> eight</p>') == "one two three four\n\nfive six\n\nseven eight"
+    # A list item that marks the article and is not closed ends with the next one.
+    inside = [(value, mark) for what, value, _, _, mark in extract.read('<ul><li role="main">a<li>b</ul>c') if what == "text"]
+    assert inside == [("a", True), ("b", False), ("c", False)]
+
+
 def test_best_region_equals_all_regions():
-    rng, scorer = random.Random(4), extract.Scorer({"div": (1, 9), "p": (9, 0)}, steep=10.0)
+    rng, scorer = random.Random(4), extract.Scorer(counted({"div": (1, 9), "p": (9, 0)}), steep=10.0)
     for _ in range(200):
         page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "one two ", "three "]) for _ in range(30))
         pieces, before = [], 0.0
