@@ -23,6 +23,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "token")
+#: Matches whose places are summed up in one step.
+BLOCK = 128
 _SPAN = "array<struct<start: int, rank: int, kind: string, stop: int, value: string>>"
 
 
@@ -32,14 +34,19 @@ def spans(text: Column, kind: str, pattern: str, least: int, value_group: int =
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     parts = F.zip_with(gaps, F.transform(F.arrays_zip(found.alias("m"), values.alias("v")), lambda x: x), lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
     matched = F.filter(parts, lambda x: x["m"].isNotNull())
-    empty = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    # Running sums in blocks: an array that grows by one is copied each time, so it stays short.
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(matched), F.lit(1)), F.lit(BLOCK)), lambda s: F.slice(matched, s, F.lit(BLOCK)))
+    sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    before = F.aggregate(sizes, none, lambda held, n: F.struct((held["at"] + n).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out")))["out"]
 
     def step(held: Column, x: Column) -> Column:
         begin, stop = held["at"] + x["gap"], held["at"] + x["gap"] + F.length(x["m"])
         one = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
         return F.struct(stop.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(held["out"], F.array(one))).otherwise(held["out"]).cast(_SPAN).alias("out"))
-    return F.aggregate(matched, start, step)["out"]
+
+    empty = F.array().cast(_SPAN)
+    return F.flatten(F.zip_with(blocks, before, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -60,9 +67,11 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
                        F.when(F.rlike(text, F.lit(r"[0-9a-f]{16}")), spans(text, "hex", HEX, 16)).otherwise(empty).alias("hex"),
                        F.when(F.rlike(text, F.lit(TOKEN)), spans(text, "token", TOKEN, 20)).otherwise(empty).alias("token"))
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    rows = rows.select("doc_id", "key", "owner", "repository", base.alias("base"), "token")
+    rows = rows.select("doc_id", "key", "owner", "repository", base.alias("base"), "assign", "token")
     mixed = F.filter("token", lambda s: F.rlike(s["value"], F.lit("[a-z]")) & F.rlike(s["value"], F.lit("[A-Z]")) & F.rlike(s["value"], F.lit("[0-9]")))
-    apart = F.filter(mixed, lambda s: ~F.exists("base", lambda b: (s["start"] < b["stop"]) & (b["start"] < s["stop"])))
+    # Access keys and hexadecimal runs have characters of tokens only, so one that meets a token stands inside it.
+    alone = F.filter(mixed, lambda s: ~F.rlike(s["value"], F.lit(f"{ACCESS}|{HEX}")))
+    apart = F.filter(alone, lambda s: ~F.exists("assign", lambda b: (s["start"] < b["stop"]) & (b["start"] < s["stop"])))
     return rows.select("doc_id", "key", "owner", "repository", "base", apart.alias("added"))
 
 
