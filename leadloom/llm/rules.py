@@ -1,10 +1,10 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
 Each rule looks at one statistic of a text and votes 1 (good), -1 (poor) or 0 (abstains). Texts are counted by their pattern of
-votes (at most 3 to the number of rules, whatever the size of the corpus); expectation-maximisation over these counts gives the
-share of good texts and each rule's vote probabilities in both classes; the posterior of a text is a sum of its votes' log-odds.
-A text passes when that posterior reaches ``threshold``; how much one
-vote counts is what the corpus shows, and a text that no rule finds fault with always passes.
+votes (at most 3 to the number of rules, whatever the size of the corpus); expectation-maximisation over these counts estimates the
+share of good texts and how often each rule votes each way, or abstains, in both classes, from Dirichlet priors that say what a rule is for.
+The posterior of a text is the sum of its votes' log-odds, abstentions included, and it passes when that reaches ``threshold``. So no
+rule has a veto: a fault that also good texts often have is outvoted, and two faults that are weak alone add up.
 
 All statistics are DataFrame expressions over the row, so nothing is shuffled but the vote patterns. Words are runs of anything
 but the six ASCII white-space characters. Null texts count as empty: no words, base rule failed, not kept. Repeated rows agree,
@@ -92,6 +92,7 @@ def rules() -> dict[str, Column]:
     some = F.col("n_words") > 0
     votes = {
         "symbols": fault(F.col("n_symbols") / words, 0.10),
+        "many_symbols": fault(F.col("n_symbols") / words, 0.50),
         "capitals": fault(F.col("n_capitals") / chars, 0.30),
         "shouts": fault(F.col("n_shouts") / words, 0.10),
         "repeats": fault(F.col("n_repeat_words") / words, 0.40),
@@ -102,38 +103,41 @@ def rules() -> dict[str, Column]:
     return {name: F.when(some, v).otherwise(0) for name, v in votes.items()} | {"length": F.when(F.col("n_words") >= 50, 1).when(F.col("n_words") < 15, -1).otherwise(0)}
 
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
+#: What is believed of a rule before any text is seen: the chances of the votes -1, 0 and 1 in good and in poor texts. Faults are rare in good
+#: texts and each shows in a part of the poor ones only.
+FAULT = ((0.002, 0.998, 0.0), (0.20, 0.80, 0.0))
+PRIORS = {"word_length": ((0.02, 0.08, 0.90), (0.15, 0.25, 0.60)), "function_words": ((0.0, 0.4, 0.6), (0.0, 0.6, 0.4)), "length": ((0.1, 0.2, 0.7), (0.2, 0.2, 0.6))}
+GOOD = 0.9
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60, least: float = 0.75) -> tuple[float, dict[str, dict[int, float]]]:
-    """Log-odds of a good text, and what each vote of each rule adds to them, from counts of vote patterns.
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], names: list[str], strength: float = 0.05, least: float = 20.0, rounds: int = 500) -> tuple[float, dict[str, dict[int, float]]]:
+    """Log-odds of a good text, and what each vote of each rule (0: abstention) adds to them, from counts of vote patterns.
 
-    Poor texts mostly show one fault and look good to all other rules, so the start calls a pattern poor if any rule does. A rule's
-    accuracy is the share of texts with its vote that are believed to be what it says. As in other weak supervision, rules are
-    taken to be better than chance: a vote against a text is right at ``least`` so often, and a vote for it never lowers the odds. Without
-    that, likelihood alone may split the texts by length or language instead. The class balance is the share of texts without a
-    vote against them, 0.6 at least, and stays. An abstention says nothing.
+    Votes are taken to be independent in each class. The priors weigh as much as a share ``strength`` of the texts, alike at every size, and
+    ``least`` texts at the least; a vote that a rule never gives has no say.
     """
     total = sum(n for _, n in patterns)
-    if not total:
-        return 0.0, {name: {1: 0.0, -1: 0.0} for name in names}
-    belief = [0.1 if -1 in p else 0.9 for p, _ in patterns]
-    prior = min(0.99, max(0.6, sum(n for p, n in patterns if -1 not in p) / total))
-    start, odds = _logit(prior), {}
+    held = max(least, strength * total)
+    believed = [PRIORS.get(name, FAULT) for name in names]
+    chances, good = [list(map(list, b)) for b in believed], GOOD
+
+    def odds(k: int, vote: int) -> float:
+        of_good, of_poor = chances[k][0][vote + 1], chances[k][1][vote + 1]
+        return math.log(max(of_good, 1e-9) / max(of_poor, 1e-9)) if of_good or of_poor else 0.0
+
     for _ in range(rounds):
-        for k, name in enumerate(names):
-            right = {}
-            for v in (1, -1):
-                said = [(b if v > 0 else 1 - b, n) for b, (p, n) in zip(belief, patterns) if p[k] == v]
-                right[v] = (sum(b * n for b, n in said) + 1) / (sum(n for _, n in said) + 2)
-            odds[name] = {1: _logit(min(0.999, max(prior, right[1]))) - start, -1: -_logit(min(0.999, max(least, right[-1]))) - start}
-        then = [1 / (1 + math.exp(-(start + sum(odds[name][v] for name, v in zip(names, p) if v)))) for p, _ in patterns]
-        moved = max(abs(a - b) for a, b in zip(belief, then))
-        belief = then
-        if moved < 1e-9:
+        share = [1 / (1 + math.exp(-max(-500.0, min(500.0, math.log(good / (1 - good)) + sum(odds(k, v) for k, v in enumerate(p)))))) for p, _ in patterns]
+        then = (sum(s * n for s, (_, n) in zip(share, patterns)) + held * GOOD) / (total + held)
+        for k in range(len(names)):
+            for c in (0, 1):
+                seen = [held * x for x in believed[k][c]]
+                for s, (p, n) in zip(share, patterns):
+                    seen[p[k] + 1] += n * (1 - s if c else s)
+                chances[k][c] = [x / sum(seen) for x in seen]
+        moved, good = abs(then - good), then
+        if moved < 1e-10:
             break
-    return start, odds
+    return math.log(good / (1 - good)), {name: {v: odds(k, v) for v in (-1, 0, 1)} for k, name in enumerate(names)}
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -146,8 +150,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [f"vote_{name}" for name in votes]
     counted = voted.groupBy(*names).count().collect()  # at most 3 to the number of rules
     patterns = sorted((tuple(r[n] for n in names), r["count"]) for r in counted)
-    start, odds = expectation_maximisation(patterns, names)
-    total = sum((F.when(F.col(n) == 1, odds[n][1]).when(F.col(n) == -1, odds[n][-1]).otherwise(0.0) for n in names), F.lit(start))
+    start, odds = expectation_maximisation(patterns, list(votes))
+    odds = {f"vote_{name}": of for name, of in odds.items()}
+    total = sum((F.when(F.col(n) == 1, odds[n][1]).when(F.col(n) == -1, odds[n][-1]).otherwise(odds[n][0]) for n in names), F.lit(start))
     posterior = 1 / (1 + F.exp(-total))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
