@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from leadloom.config import Campaign, CreatorSearch, EmailRules, Product, Sender
-from leadloom.functions import catalog, grouping, numbers, text as t, urls
+from leadloom.functions import catalog, grouping, numbers, text as t, urls, vocabulary
 from leadloom.operators import companies as co, contacts as ct, creators as cr, discovery as di, grading as gr
 from leadloom.operators import names as nm, pages as pg, planning as pl, reports as rp
 from leadloom.plans import buyer, rounds
@@ -142,7 +142,35 @@ def email_best_source(spark, sf):
     return flat(pg.best_sources(pg.harvest_emails(_documents_as_pages(spark, sf), NO_BLOCK)))
 
 
-@query()
+_US = next(r for r in catalog.country_rows() if r["country"] == "United States")
+
+
+def _hint_sql(column: str, terms, last: bool) -> str:
+    """Start of the last or first of any term in ``column``, from 1; 0 when none occurs."""
+    listed = f"[{', '.join(map(w.quote, terms))}]"
+    if last:
+        return f"list_max(list_transform({listed}, lambda h: CASE WHEN instr(reverse({column}), reverse(h)) > 0 THEN length({column}) - instr(reverse({column}), reverse(h)) - length(h) + 2 ELSE 0 END))"
+    return f"coalesce(list_min(list_filter(list_transform({listed}, lambda h: instr({column}, h)), lambda x: x > 0)), 0)"
+
+
+_PHONE_SQL = r"\+?[0-9][0-9\s().-]{7,}[0-9]"
+
+
+@query(f"""WITH v AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+      '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS h FROM pages),
+  src AS (SELECT url, regexp_extract({w.HOST}, '([^.]+\\.[^.]+)$', 1) AS domain, {_plain_sql("regexp_replace(h, '(?s)<[!/?a-zA-Z][^>]*>', ' ', 'g')")} AS text FROM v
+    UNION ALL SELECT 'https://' || source || '.com' || {w.sql_case('lang', _DOC_URL)} || doc_id, source || '.com', text FROM documents),
+  n AS (SELECT row_number() OVER () AS k, *, regexp_extract_all(text, '{_PHONE_SQL}') AS ms, regexp_split_to_array(text, '{_PHONE_SQL}') AS gs FROM src WHERE regexp_matches(text, '{_PHONE_SQL}')),
+  e AS (SELECT k, url, domain, text, ms, list_transform(ms, lambda m: length(m)) AS ml, list_transform(gs, lambda g: length(g)) AS gl, unnest(range(1, len(ms) + 1)) AS i FROM n),
+  f AS (SELECT *, ms[i] AS raw, CAST(list_sum(gl[1:i]) + coalesce(list_sum(ml[1:i - 1]), 0) AS BIGINT) AS b FROM e),
+  c AS (SELECT *, lower(substr(text, CAST(greatest(1, b - 99) AS BIGINT), CAST(least(100, b) AS BIGINT))) AS before, lower(substr(text, CAST(b + length(raw) + 1 AS BIGINT), 100)) AS rest FROM f),
+  j AS (SELECT *, {_hint_sql('before', vocabulary.PHONE_HINTS, True)} AS pb, {_hint_sql('before', vocabulary.NON_PHONE_HINTS, True)} AS ob,
+      {_hint_sql('rest', vocabulary.PHONE_HINTS, False)} AS pa, {_hint_sql('rest', vocabulary.NON_PHONE_HINTS, False)} AS oa FROM c),
+  r AS (SELECT k, url, domain, raw, min(CASE WHEN pb > 0 OR pa > 0 THEN 0 ELSE 1 END * 1000000000 + i) AS place FROM j WHERE NOT (ob > pb OR (oa > 0 AND (pa = 0 OR oa < pa))) GROUP BY k, url, domain, raw),
+  p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS position FROM r QUALIFY position < 10),
+  t AS (SELECT *, regexp_replace(regexp_replace(trim(trim(regexp_replace(raw, '\\s+', ' ', 'g')), ' .-()'), '^\\+([0-9]+)\\)\\s*', '+\\1 '), '^([0-9]+)\\)\\s*', '\\1 ') AS value FROM p)
+  SELECT url, domain, 'United States' AS country, position, raw AS raw_phone, CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
+    AND (starts_with(value, '+{_US["dial"]}') OR starts_with(regexp_replace(value, '[^0-9]', '', 'g'), '{_US["dial"]}') OR starts_with(regexp_replace(value, '[^0-9]', '', 'g'), '0')) THEN value END AS phone FROM t""")
 def phone_harvest(spark, sf):
     pages = pg.extract_pages(w.table(spark, sf, "pages").select("url", "html", F.lit("United States").alias("country")))
     docs = _documents_as_pages(spark, sf).withColumn("country", F.lit("United States"))
@@ -167,7 +195,10 @@ def name_review(spark, sf):
     return flat(lines.select("doc_id", "line", nm.name_review_reason(F.col("name")).alias("reason")))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, trim(trim(regexp_replace(regexp_replace(text, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), ' ·|-') AS x FROM documents),
+  s AS (SELECT doc_id, string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM d),
+  u AS (SELECT doc_id, ss, list_filter(ss, lambda y: length(y) >= 35 AND NOT regexp_matches(y, '(?i){'|'.join(vocabulary.SUMMARY_SKIPPED)}')) AS us FROM s)
+  SELECT doc_id, left(array_to_string(CASE WHEN len(us) > 0 THEN us[1:2] ELSE ss[1:2] END, ' '), 360) AS summary FROM u""")
 def description_summaries(spark, sf):
     return w.table(spark, sf, "documents").select("doc_id", pg.summarize_text(F.col("text")).alias("summary"))
 
