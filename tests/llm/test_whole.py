@@ -50,12 +50,15 @@ def test_one_of_each_equals_brute_force_over_all_pairs(spark):
     rows |= {700: "", 701: " \n", 702: "Two words", 703: "two  WORDS", 704: "other pair"}
     want = grouped(rows)
     docs = cases.documents(spark, [(i, t, "en") for i, t in rows.items()] + [(None, rows[100], "en"), (705, None, "en"), (100, rows[100], "en")])
-    got = {r.doc_id: r.group_id for r in copies.groups(docs).collect() if r.doc_id is not None}
-    assert got == want | {705: 700}
+    for exact in (True, False):
+        got = {r.doc_id: r.group_id for r in copies.groups(docs, exact=exact).collect() if r.doc_id is not None}
+        assert got == want | {705: 700}
     kept = [r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
     assert sorted(i for i in kept if i is not None) == sorted([i for i, root in want.items() if i == root] + ([100] if want[100] == 100 else [])) and kept.count(None) == 1
     linked = [(i, j) for i in rows for j in rows if i < j and rows[i] != rows[j] and alike(rows[i], rows[j])]
     assert len(linked) > 100 and copies.groups(cases.empty(spark)).count() == 0
+    # With no rounds, only links to leaders; the exact path finds the rest.
+    assert {r.doc_id: r.group_id for r in copies.groups(docs, exact=True, rounds=0).collect() if r.doc_id is not None} == want | {705: 700}
 
 
 # ------------------------------------------------------------------ lines
