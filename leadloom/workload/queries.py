@@ -1400,3 +1400,22 @@ def campaign_rounds(spark, sf):
 
     states = rounds.run_rounds(spark, majors, execute, f"{scratch(spark)}/rounds", _ROUND, _ROUND_BUDGET)
     return flat(states, "round", "major", "queries", "sendable", "analysed", "qualified", "exhausted")
+
+
+@query(f"""WITH {w.OWNERS}{w.VARIANTS[len(w.RECORDS):]},
+  mine AS (SELECT o.owner_id, o.r, p.* EXCLUDE (record_id) FROM owned o JOIN placed p USING (record_id) WHERE o.quality_decision <> 'excluded' OR o.record_id = o.owner_id),
+  addresses AS (SELECT * FROM mine QUALIFY row_number() OVER (PARTITION BY owner_id, company_email ORDER BY source_priority DESC, r, position) = 1),
+  companies AS (SELECT * FROM owned QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY r) = 1),
+  listed AS (SELECT a.company_email, a.email_source_url, a.email_status, c.company_id, c.priority, c.quality_decision, c.industry_score FROM addresses a JOIN companies c USING (owner_id)),
+  ok AS (SELECT * FROM listed WHERE (priority IN ('A', 'B', 'C', 'strategic') OR (quality_decision = 'other_country' AND industry_score > 0)
+      OR (quality_decision = 'reference' AND industry_score > 0 AND email_status = 'official')) AND email_status IN ('official', 'verified', 'external', 'needs_check') AND quality_decision <> 'excluded'),
+  first AS (SELECT company_email, company_id, priority FROM ok QUALIFY row_number() OVER (PARTITION BY company_email ORDER BY {_LIST_RANK}, company_id) = 1),
+  n AS (SELECT company_email, count(DISTINCT email_source_url) AS source_count FROM ok GROUP BY 1),
+  m AS (SELECT company_email, count(DISTINCT company_id) AS related_company_count FROM listed GROUP BY 1)
+  SELECT company_email, company_id, priority, source_count, related_company_count FROM first JOIN n USING (company_email) JOIN m USING (company_email)""")
+def campaign_contacts(spark, sf):
+    """The contact list of a campaign: records merged into companies, with every address of each company."""
+    records = w.records(spark, sf)
+    owned = co.assign_owners(records)
+    contacts = buyer.company_contacts(co.merge_owned(owned, records.columns), co.company_addresses(owned))
+    return flat(contacts, "company_email", "company_id", "priority", "source_count", "related_company_count")
