@@ -12,7 +12,7 @@ from leadloom.functions import catalog, grouping, numbers, text as t, urls, voca
 from leadloom.operators import companies as co, contacts as ct, creators as cr, discovery as di, grading as gr
 from leadloom.operators import names as nm, pages as pg, planning as pl, reports as rp
 from leadloom.plans import buyer, rounds
-from leadloom.sources import dimensions, readers, sinks
+from leadloom.sources import dimensions, readers, sinks, stages
 from leadloom.streaming import incremental, refill
 from leadloom.workload import tables as w, verdict_sql
 
@@ -1276,22 +1276,25 @@ _RESUMED = Campaign(industry="cosmetics", countries=("United Kingdom", "France",
 
 
 @query(f"""WITH {_SITES}, ok AS (SELECT * FROM filtered WHERE reject_reason IS NULL AND country IS NOT NULL),
-  one AS (SELECT country, domain, max(points) AS score FROM ok WHERE profile = 'local_market' GROUP BY country, domain),
-  two AS (SELECT country, domain, max(points) AS score FROM ok GROUP BY country, domain)
-  SELECT two.country AS target_country, two.domain, CAST(coalesce(one.score, two.score) AS BIGINT) AS candidate_score, one.domain IS NOT NULL AS from_before FROM two LEFT JOIN one USING (country, domain)""")
+  done AS (SELECT DISTINCT country, domain FROM ok WHERE keyword < 'm' AND points >= 11),
+  pool AS (SELECT country, domain, max(points) AS score FROM ok GROUP BY country, domain),
+  n AS (SELECT regexp_extract({w.HOST}, '([^.]+\\.[^.]+)$', 1) AS domain, count(*) AS pages FROM pages GROUP BY 1)
+  SELECT country, domain, CAST(score AS BIGINT) AS candidate_score, pages FROM pool JOIN n USING (domain) WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.country = pool.country AND d.domain = pool.domain)""")
 def resumed_campaign(spark, sf):
-    """A campaign over part of the results, then over all of them with the records of the first as done work, then the
-    second started once more without any pages, as after an interruption: its stages are there, so no page is read."""
+    """The reading of a campaign's sites, with some pairs done before; then started once more without any pages, as after an
+    interruption: the stages are there, so no page is read again. Whole runs that go on are tested in `tests`."""
     out = scratch(spark)
     rules = replace(RULES, host_key="registrable")
     hits = w.hits(spark, sf).where("country IS NOT NULL")
     pages = w.table(spark, sf, "pages").select("url", "html")
-    first = buyer.run(hits.where("profile = 'local_market'"), pages, _RESUMED, rules, stage_dir=f"{out}/first", inputs="part").records
+    _, _, chosen = buyer.discover(hits, _RESUMED, rules)
+    done = di.accepted(di.prefilter_results(hits, rules)).where("keyword < 'm' AND candidate_score >= 11")
     for again in (pages, pages.where(F.lit(False))):
-        whole = buyer.run(hits, again, _RESUMED, rules, stage_dir=f"{out}/whole", inputs="all", previous=first).records
-    before = first.select("domain", "target_country", F.lit(True).alias("from_before"))
-    rows = whole.join(before, ["domain", "target_country"], "left")
-    return flat(rows, "target_country", "domain", "candidate_score", F.coalesce("from_before", F.lit(False)).alias("from_before"))
+        stored = stages.Stages(spark, out, "all")
+        candidates = stored.keep(di.pending_candidates(chosen, done.select(F.concat_ws("|", "domain", "country").alias("key"))), "candidates")
+        extracted = buyer.read_sites(candidates, again, _RESUMED, stages=stored)
+    read = extracted.groupBy("domain").agg(F.count("*").alias("pages"))
+    return flat(candidates.join(read, "domain"), "country", "domain", "candidate_score", "pages")
 
 
 # ------------------------------------------------------------------ suffix rules, lists, report sets, rounds
