@@ -1,9 +1,13 @@
 """Hand-computed cases of the expressions."""
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from leadloom.config import EmailRules
 from leadloom.functions import emails, ids, numbers, text as t, urls
 from leadloom.operators import contacts, creators, names, pages
+from leadloom.workload import tables as w
 
 
 def value(spark, column):
@@ -115,3 +119,33 @@ def test_summary(spark):
     text = "Menu Home. We supply skincare and cosmetics to salons across the whole country. Please login to see prices of everything here. Our team ships twice a week to every large city."
     assert value(spark, pages.summarize_text(F.lit(text))) == (
         "We supply skincare and cosmetics to salons across the whole country. Our team ships twice a week to every large city.")
+
+
+def test_words_are_swapped_as_by_one_replace_after_the_other(spark):
+    rng, rows = random.Random(5), [None, "", " ", "des", "des des des des", "des  des", "\nnicht\n", "étion étion x", "Nicht des\tdes des. a.des"]
+    some = ["des", "und", "nicht", "thble", "étion", "the", "x", "", "desx", "$1", "\\1", "les\n", "😀"]
+    rows += [" ".join(rng.choices(some, k=rng.randrange(40))) for _ in range(200)]
+    for phrases in (w.WORDS, w.PROFILE_WORDS, {"a": "b c", "ab": "$1", "a.b": "\\"}):
+        texts = rows + [" ".join(rng.choices([*phrases, "y"], k=60)) for _ in range(40)] + ["a ab a.b axb a a ab"]
+        got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select(
+            "k", t.swap_words(F.concat(F.lit(" "), "x", F.lit(" ")), phrases).alias("y")).collect()
+        for r in got:
+            want = None if texts[r.k] is None else f" {texts[r.k]} "
+            for word, phrase in phrases.items():
+                want = want and want.replace(f" {word} ", f" {phrase} ")
+            assert r.y == want
+    with pytest.raises(ValueError):
+        t.swap_words(F.lit("a"), {"a": "b", "c": "the a"})
+    # One pass: the plan of company texts does not replace word by word.
+    plan = w.company_texts(spark, "/root/testdata/sf0.001").select("identity_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 0
+
+
+def test_bounded_terms_and_spaces_as_before(spark):
+    rows = ["spa", "aspa spa", "spa9", "a spa.", "spaspa", "-spa-", "éspaé", "x spa-bar spa", "c++ c+", "ac++", "\t a \u3000 b\n\nc d  e\x85", "  ", "", "spa aspa"]
+    old = lambda term: r"(?<![a-z0-9])" + t.literal_pattern(term) + r"(?![a-z0-9])"
+    table = spark.createDataFrame([(r,) for r in rows], "x string")
+    for term in ("spa", "c++", "spa-bar", "a"):
+        for r in table.select("x", F.col("x").rlike(old(term)).alias("old"), F.col("x").rlike(t.bounded(term)).alias("new"), t.present(F.col("x"), F.lit(term)).alias("col")).collect():
+            assert r.old == r.new == r.col, (r, term)
+    assert all(r.a == r.b for r in table.select(t.squash(F.col("x")).alias("a"), F.trim(F.regexp_replace("x", r"(?U)\s+", " ")).alias("b")).collect())
