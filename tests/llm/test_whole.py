@@ -61,6 +61,22 @@ def test_one_of_each_equals_brute_force_over_all_pairs(spark):
     assert {r.doc_id: r.group_id for r in copies.groups(docs, exact=True, rounds=0).collect() if r.doc_id is not None} == want | {705: 700}
 
 
+def test_one_of_each_asks_fingerprints_first(spark, monkeypatch):
+    from leadloom.llm import simhash
+    rng, asked = random.Random(24), []
+    base = rng.choices(WORDS, k=400)
+    rows = {1: " ".join(base), 2: " ".join(base + ["end"]), 3: " ".join(rng.choices(WORDS, k=400)), 4: " ".join(base[:399])}
+    docs = cases.documents(spark, [(i, t, "en") for i, t in rows.items()])
+    nodes = copies.nodes_of(docs).collect()
+    assert {r.doc_id: r.bits for r in nodes} == {i: simhash.fingerprint(t) for i, t in rows.items()}
+    table = spark.createDataFrame([(k, b) for k, b in enumerate((0, 1, 3, 7, 0, 63, 1 << 40, -1))], "node long, bits long")
+    got = {(r.a, r.b) for r in copies.fingerprint_pairs(table).collect()}
+    assert got == {(0, k) for k in range(1, 7)}
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, radius=3: asked.append(radius) or links(prints, radius))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [1, 3] and asked == [3]
+
+
 # ------------------------------------------------------------------ lines
 
 def made(rng, n, k=30):
