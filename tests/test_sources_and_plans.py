@@ -173,3 +173,19 @@ def test_campaign_takes_directory_links_and_outside_contacts(spark, tmp_path):
     pool = {r.domain: r for r in tables.pool.collect()}
     assert pool["newco.vn"].discovery_url == "https://expo.org/exhibitors" and pool["newco.vn"].discovery_source == ["ecosystem"] and "facebook.com" not in pool
     assert [(r.company_email, r.email_status) for r in tables.contacts.collect()] == [("buyer@newco.vn", "verified")]
+
+
+def test_records_of_one_row_group_are_dealt_to_several_tasks(spark, tmp_path):
+    from leadloom.workload import tables
+
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name", "0 AS n_regionkey").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(2000).selectExpr("id AS c_custkey", "'c' AS c_name", "CAST(id % 3 AS INT) AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal",
+                                 "'BUILDING' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(10).selectExpr("id AS s_suppkey", "'s' AS s_name", "0 AS s_nationkey", "1.0D AS s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would become one
+    try:
+        sizes = [r["count"] for r in tables.records(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 2010
+    assert max(sizes) < 1000  # as read, one task held all customers
