@@ -123,6 +123,25 @@ def test_ledger_reads_only_touched_buckets(spark, tmp_path):
         assert len(list((tmp_path / "keys" / "folded" / "upto=9").glob("key_bucket=*/*.parquet"))) <= 9
 
 
+def test_ledger_is_listed_and_joined_without_the_driver(spark, tmp_path):
+    ledger = KeyLedger(str(tmp_path / "keys"), "key string", fold=2)
+    keys = lambda low, high: spark.range(low, high).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    for b in range(5):
+        fresh = ledger.unseen(keys(b * 400, b * 400 + 1000), b)
+        assert fresh.count() == (1000 if b == 0 else 400)
+        ledger.add(keys(b * 400, b * 400 + 1000), b)
+    assert "Broadcast" not in fresh._jdf.queryExecution().simpleString()
+    # More folders than this Spark lists by a job with a task for each.
+    most = int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.threshold"))
+    for folder in (tmp_path / "keys" / "batches" / "batch_id=4", tmp_path / "keys" / "folded" / "upto=4"):
+        assert 1 < len(list(folder.glob("key_bucket=*"))) <= most
+    read = ledger.seen(spark, 5, ledger.touched(keys(0, 1)))
+    assert read.count() == read.where("key = 'k0'").count() + read.where("key != 'k0'").count() < 100
+    assert ledger.seen(spark, 5).distinct().count() == 2600
+    # A ledger that goes on with another fold finds the marks of the one before.
+    assert KeyLedger(ledger.path, "key string", fold=5).unseen(keys(0, 3000), 5).count() == 400
+
+
 PAGES = [(f"https://acme{k}.vn/", page(f"Acme {k}", f'We are an importer and exclusive distributor of cosmetics and skincare based in Vietnam. sales@acme{k}.vn <a href="/contact">Contact</a>')) for k in range(6)]
 
 
