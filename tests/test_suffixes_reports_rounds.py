@@ -115,3 +115,20 @@ def test_a_known_doubt_about_a_company_keeps_it_from_approval(spark):
     got = sorted((r.identity_review_reason or "", r.review_reasons, r.delivery_status) for r in contacts.review_contacts(frame).collect())
     assert got[-1] == ("two_legal_names", ["two_legal_names"], "needs_review") and all(r[1:] == ([], "approved") for r in got[:3])
     assert {r.delivery_status for r in contacts.review_contacts(frame.drop("identity_review_reason")).collect()} == {"approved"}
+
+
+def test_report_set_reviews_contacts_once(spark, monkeypatch):
+    from leadloom.workload import queries
+
+    rows = [(f"a{k}@x.com", f"C{k}", f"Acme {k}", "France", "France", "official", "https://x.com/", "qualified", "importer",
+             [] if k else ["company_fit"], "approved" if k else "needs_review") for k in range(3)]
+    reviewed = spark.createDataFrame(rows, "company_email string, company_id string, company_name string, target_country string, verified_country string, "
+                                     "email_status string, email_source_url string, quality_decision string, buyer_type string, review_reasons array<string>, delivery_status string")
+    times, kept = [], ("mailing", "approved", "review", "letters", "evidence", "exclusions")
+    monkeypatch.setattr(queries, "_reviewed", lambda *args: times.append(1) or reviewed)
+    monkeypatch.setattr(queries, "_REPORT", {name: queries._REPORT[name] for name in kept})
+    monkeypatch.setitem(queries.QUERIES, "evidence_log", lambda *args: spark.sql("SELECT 'call' AS kind, 1 AS rows, 2 AS results"))
+    monkeypatch.setitem(queries.QUERIES, "exclusion_reasons", lambda *args: spark.sql("SELECT 'media' AS reason, 1 AS companies"))
+    got = queries.report_set(spark, "").groupBy("section").count().collect()
+    assert times == [1]
+    assert {r.section: r["count"] for r in got} == {"mailing": 3, "approved": 2, "review": 1, "letters": 3, "evidence": 1, "exclusions": 1}
