@@ -418,3 +418,18 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
 def test_every_operator_has_its_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in workload.QUERIES)
     assert numbers == list(range(1, 14))
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from leadloom.llm import common, simhash
+
+    stages, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df: stages.append(1) or stage(df))
+    stars = [(1, 5), (1, 6), (2, 9), (9, 2), (3, 3)]
+    got = simhash.components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert len(stages) == 1  # the edges themselves
+    chain = [(k, k + 1) for k in range(10, 30)] + [(-4, 30), (40, 41)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: -4 for k in [-4, *range(10, 31)]} | {40: 40, 41: 40}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
