@@ -433,3 +433,33 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: -4 for k in [-4, *range(10, 31)]} | {40: 40, 41: 40}
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_over_a_small_table_take_few_tasks(spark):
+    from leadloom.llm import simhash
+
+    chain = [(k, k + 1) for k in range(10, 30)] + [(-4, 30), (40, 41)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few tasks", "components of a chain")
+    try:
+        got = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {k: -4 for k in [-4, *range(10, 31)]} | {40: 40, 41: 40}
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for job in seen.getJobIdsForGroup("few tasks") for s in seen.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(seen.getStageInfo, stages) if info)
+    assert 0 < tasks < 2_500
+
+
+def test_narrow_stage_follows_the_rows(spark):
+    rows = spark.range(0, 1000, 1, 40).withColumn("x", F.col("id") * 2)
+    one, many = common.narrow_stage(rows), common.narrow_stage(rows, 100)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 11
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) == [(k, 2 * k) for k in range(1000)]
+    none = common.narrow_stage(rows.where("x < 0").groupBy("x").count())
+    assert none.count() == 0 and none.columns == ["x", "count"]
